@@ -7,7 +7,7 @@ match means the distributed rewrite computes the same thing.
 
 from __future__ import annotations
 
-from fraudlens.plans.registry import IDENTITY_SQL, TX_SQL
+from fraudlens.plans.registry import IDENTITY_SQL, TX_SQL  # noqa: F401
 
 
 def frame(key: str, width: int) -> str:
