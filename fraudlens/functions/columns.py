@@ -182,7 +182,7 @@ def masked_card(cid) -> Column:
 # --- B22-B24: scoring rules ---------------------------------------------------------
 # Fixed values of the single-transaction scorer.
 FRAUD_THRESHOLD = 0.26
-CALIBRATED_WEIGHT = 0.7
+CALIBRATED_WEIGHT, RAW_WEIGHT = 0.7, 0.3
 SIGNAL_BOOST_STEP, SIGNAL_BOOST_CAP, SIGNAL_MIN_COUNT = 0.02, 0.16, 2
 
 
@@ -214,7 +214,7 @@ def risk_signal_count(amt, hour, tx_1h, tx_24h, gap, new_card, burst) -> Column:
 
 
 def boosted_probability(raw, n_signals, method: str = "sigmoid") -> Column:
-    blended = CALIBRATED_WEIGHT * calibrate(raw, method) + (1 - CALIBRATED_WEIGHT) * col(raw)
+    blended = CALIBRATED_WEIGHT * calibrate(raw, method) + RAW_WEIGHT * col(raw)
     boost = F.least(F.lit(SIGNAL_BOOST_CAP), SIGNAL_BOOST_STEP * col(n_signals))
     return clip01(F.when(col(n_signals) >= SIGNAL_MIN_COUNT, blended + boost).otherwise(blended))
 
