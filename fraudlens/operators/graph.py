@@ -11,8 +11,9 @@ or convergent number of join + aggregate rounds.  Per-node choices use
 ``min_by`` *aggregates* (partial aggregation), never a window over a node's
 neighbours, so a hub merchant holding a third of all edges is reduced
 map-side instead of sorted by one task.  Each round's labels are cut from
-the lineage with a reliable ``checkpoint()`` (``spark.checkpoint.dir``), so
-a lost executor re-reads the last round instead of replaying all of them.
+the lineage by writing it under ``spark.checkpoint.dir`` (a shared folder on
+a cluster), so a lost executor re-reads the last round instead of replaying
+all of them.
 """
 
 from __future__ import annotations
@@ -21,15 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudlens.functions import columns as C
-from fraudlens.session import ensure_checkpoint_dir
+from fraudlens.session import materialize
 
 CARD, MERCHANT = "card", "merchant"
 DEFAULT_LPA_ROUNDS = 10
 
 
 def _checkpoint(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return materialize(df, "graph-round")
 
 
 # ---------------------------------------------------------------------------

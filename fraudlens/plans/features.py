@@ -140,12 +140,12 @@ def target_encoding(spark, sf_dir):
 
 CARD_FEATURES_SQL = S.enriched_sql(f"""
 SELECT card_id, count(*) AS tx_count, {S.money_mean()} AS amt_mean,
-  coalesce(round(stddev_samp(amt), 9), 0) AS amt_std, max(amt) AS amt_max, min(amt) AS amt_min,
+  coalesce(round(stddev_samp(amt), 6), 0) AS amt_std, max(amt) AS amt_max, min(amt) AS amt_min,
   avg(is_round_amt) AS amt_decimal_ratio, round(avg(log_amt), 9) AS log_amt_mean,
   count(DISTINCT merchant_id) AS unique_merchants, count(DISTINCT product) AS unique_products,
   count(DISTINCT addr1) AS unique_addr, avg(is_night) AS night_ratio,
   avg(is_weekend) AS weekend_ratio, max(dt) - min(dt) AS time_span,
-  coalesce(round(stddev_samp(dt), 9), 0) AS dt_std, coalesce(round(stddev_samp(hour), 9), 0) AS hour_std,
+  coalesce(round(stddev_samp(dt), 6), 0) AS dt_std, coalesce(round(stddev_samp(hour), 6), 0) AS hour_std,
   avg(card_tx_1h) AS avg_tx_1h, avg(card_tx_24h) AS avg_tx_24h, max(card_tx_1h) AS max_tx_1h,
   max(card_tx_24h) AS max_tx_24h, round(avg(amt_ratio_24h), 9) AS avg_amt_ratio,
   max(amt_ratio_24h) AS max_amt_ratio, avg(is_burst) AS burst_ratio,
@@ -164,10 +164,10 @@ MERCHANT_FEATURES_SQL = S.enriched_sql(f"""
 , m AS (
   SELECT merchant_id, count(*) AS tx_count, count(DISTINCT card_id) AS unique_cards,
     count(DISTINCT uid) AS unique_uids, {S.money_mean()} AS amt_mean,
-    round(stddev_samp(amt), 9) AS amt_std, max(amt) AS amt_max, avg(is_fraud) AS fraud_rate,
+    round(stddev_samp(amt), 6) AS amt_std, max(amt) AS amt_max, avg(is_fraud) AS fraud_rate,
     CAST(sum(CAST(amt AS DECIMAL(18,3))) AS DOUBLE) / count(DISTINCT card_id) AS avg_amt_per_card,
     stddev_samp(dt) AS dt_std_raw, avg(is_night) AS night_ratio, avg(is_round_amt) AS round_amt_ratio,
-    avg(is_weekend) AS weekend_ratio, round(stddev_samp(hour), 9) AS hour_std,
+    avg(is_weekend) AS weekend_ratio, round(stddev_samp(hour), 6) AS hour_std,
     avg(merchant_tx_1h) AS avg_tx_1h, avg(merchant_tx_24h) AS avg_tx_24h,
     max(merchant_tx_1h) AS max_tx_1h, max(merchant_tx_24h) AS max_tx_24h,
     avg(merchant_unique_cards_1h) AS avg_unique_cards_1h
@@ -179,7 +179,7 @@ reuse AS (
 mx AS (SELECT CASE WHEN max(dt_std_raw) IS NULL OR max(dt_std_raw) = 0 THEN 1.0
                    ELSE max(dt_std_raw) END AS v FROM m)
 SELECT m.merchant_id, tx_count, unique_cards, unique_uids, amt_mean, coalesce(amt_std, 0) AS amt_std,
-  amt_max, fraud_rate, avg_amt_per_card, coalesce(round(dt_std_raw, 9), 0) AS dt_std, night_ratio,
+  amt_max, fraud_rate, avg_amt_per_card, coalesce(round(dt_std_raw, 6), 0) AS dt_std, night_ratio,
   round_amt_ratio, weekend_ratio, coalesce(hour_std, 0) AS hour_std, avg_tx_1h, avg_tx_24h,
   max_tx_1h, max_tx_24h, avg_unique_cards_1h, coalesce(card_reuse_rate, 0) AS card_reuse_rate,
   coalesce(round(1 - dt_std_raw / (SELECT v FROM mx), 9), 0) AS time_concentration

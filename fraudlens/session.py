@@ -73,3 +73,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="fraudlens-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` as a Parquet table under the session's
+    checkpoint directory (a shared folder on a cluster) and reading it back.
+
+    Unlike ``Dataset.checkpoint()``, which evaluates the plan once for the
+    action and again to write the RDD checkpoint, the write evaluates it
+    once; the re-read table is columnar, so consumers prune columns and push
+    filters into the scan.  Never a local checkpoint: the files survive the
+    loss of the executors that wrote them."""
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)
