@@ -55,13 +55,16 @@ def global_row_number(df: DataFrame, order_cols: list[str], name: str = "idx",
                       partitions: int | None = None) -> DataFrame:
     """0-based position of each row in ``order_cols`` order, distributed.
 
-    Range-partition by the order columns, number rows inside each partition,
-    and add the count of rows in all earlier partitions (a window over the
-    partition-count table, one row per partition).  Exact whatever the
-    range boundaries turn out to be."""
+    Range-partition by the order columns and record each row's partition;
+    that assignment is materialised once (a sampled range partitioner read
+    by two consumers could otherwise be evaluated with different
+    boundaries or coalescing).  Rows are then numbered inside their
+    partition and shifted by the row count of all earlier partitions (a
+    window over one row per partition).  Exact for any boundaries."""
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    r = df.repartitionByRange(n, *order_cols).withColumn("_p", F.spark_partition_id())
+    r = materialize(df.repartitionByRange(n, *order_cols).withColumn("_p", F.spark_partition_id()),
+                    "row-number")
     counts = r.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     wo = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.select("_p", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))

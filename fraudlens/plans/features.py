@@ -116,7 +116,7 @@ def uid_velocity(spark, sf_dir):
 @register("time_threshold", S.ctes(S.TX_SQL) + """
 SELECT max(dt) AS threshold FROM (
   SELECT dt, row_number() OVER (ORDER BY dt) AS rn FROM tx)
-WHERE rn <= (SELECT CAST(floor(0.7 * count(*)) AS BIGINT) FROM tx)""")
+WHERE rn <= (SELECT CAST(floor(CAST(0.7 AS DOUBLE) * count(*)) AS BIGINT) FROM tx)""")
 def time_threshold(spark, sf_dir):
     """G1: dt of the floor(0.7 n)-th transaction by time, without a global sort."""
     return ENC.time_threshold(transactions(spark, sf_dir).select("dt"))

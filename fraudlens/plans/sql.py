@@ -82,7 +82,7 @@ f_mail AS (SELECT email_domain, count(*) AS email_domain_freq FROM vel GROUP BY
 thr AS (
   SELECT max(dt) AS threshold FROM (
     SELECT dt, row_number() OVER (ORDER BY dt) AS rn FROM vel)
-  WHERE rn <= (SELECT CAST(floor(0.7 * count(*)) AS BIGINT) FROM vel)),
+  WHERE rn <= (SELECT CAST(floor(CAST(0.7 AS DOUBLE) * count(*)) AS BIGINT) FROM vel)),
 train AS (SELECT * FROM vel WHERE dt <= (SELECT threshold FROM thr)),
 prior AS (SELECT avg(is_fraud) AS g FROM train),
 te_card AS (
