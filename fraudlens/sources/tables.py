@@ -46,10 +46,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns=None) -> Dat
     return df
 
 
+EVENTS_SCHEMA = ("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+                 "value double, props string")
+
+
 def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transaction fact table (one row per event)."""
     ev = read_table(spark, sf_dir, "events",
                     ["event_id", "ts", "user_id", "event_type", "value", "props"])
+    return events_to_transactions(ev)
+
+
+def events_to_transactions(ev: DataFrame) -> DataFrame:
+    """Row-wise mapping events -> transactions (batch or streaming input)."""
     addr = F.get_json_object("props", "$.k").try_cast("int")
     dt = F.unix_seconds(F.col("ts").cast("timestamp")) - F.lit(EPOCH_OFFSET_SECONDS)
     return ev.select(
