@@ -13,6 +13,7 @@ from fraudlens.plans.registry import TX_SQL, register
 from fraudlens.sources.tables import identity, transactions
 
 LPA_ROUNDS = G.DEFAULT_LPA_ROUNDS
+RESOLUTION = 1.0
 
 EDGES_SQL = """
 e AS (SELECT 'card_' || card_id AS src, 'merchant_' || merchant_id AS dst, card_id, merchant_id,
@@ -20,24 +21,53 @@ e AS (SELECT 'card_' || card_id AS src, 'merchant_' || merchant_id AS dst, card_
       FROM tx GROUP BY card_id, merchant_id)"""
 
 
-def _lpa_sql(rounds: int = LPA_ROUNDS) -> str:
-    parts = ["m0 AS (SELECT DISTINCT dst AS node, dst AS label FROM e)"]
+def _lpa_sql(rounds: int = LPA_ROUNDS, out: str = "lpa", p: str = "l") -> str:
+    """Plain weighted label propagation, unrolled (CTE names prefixed by ``p``)."""
+    parts = [f"{p}m0 AS (SELECT DISTINCT dst AS node, dst AS label FROM e)"]
     for r in range(1, rounds + 1):
-        parts.append(f"""c{r} AS (
+        parts.append(f"""{p}c{r} AS (
   SELECT src AS node, arg_min(label, (-w, label)) AS label FROM (
-    SELECT e.src, m.label, sum(e.weight) AS w FROM e JOIN m{r-1} m ON e.dst = m.node
+    SELECT e.src, m.label, sum(e.weight) AS w FROM e JOIN {p}m{r-1} m ON e.dst = m.node
     GROUP BY e.src, m.label) GROUP BY src)""")
-        parts.append(f"""m{r} AS (
+        parts.append(f"""{p}m{r} AS (
   SELECT dst AS node, arg_min(label, (-w, label)) AS label FROM (
-    SELECT e.dst, c.label, sum(e.weight) AS w FROM e JOIN c{r} c ON e.src = c.node
+    SELECT e.dst, c.label, sum(e.weight) AS w FROM e JOIN {p}c{r} c ON e.src = c.node
     GROUP BY e.dst, c.label) GROUP BY dst)""")
-    parts.append(f"""comm AS (
+    parts.append(f"""{out} AS (
+  SELECT node, 'card' AS node_type, label AS community_id FROM {p}c{rounds}
+  UNION ALL SELECT node, 'merchant' AS node_type, label AS community_id FROM {p}m{rounds})""")
+    return ",\n".join(parts)
+
+
+def _louvain_sql(rounds: int = LPA_ROUNDS, resolution: float = 1.0, out: str = "comm") -> str:
+    """Modularity-gain propagation, unrolled: the oracle of ``modularity_communities``."""
+    parts = ["""deg AS (SELECT node, sum(weight) AS k FROM (
+  SELECT src AS node, weight FROM e UNION ALL SELECT dst AS node, weight FROM e) GROUP BY node)""",
+             "tm AS (SELECT 2 * sum(weight) AS m2 FROM e)",
+             "m0 AS (SELECT DISTINCT dst AS node, dst AS label FROM e)",
+             "c0 AS (SELECT DISTINCT src AS node, src AS label FROM e)"]
+
+    def vote(name, listener, speaker, spk_tab, card_tab, merch_tab):
+        return f"""{name} AS (
+  SELECT v.{listener} AS node,
+         arg_min(v.label, (-(v.w - CAST({resolution!r} AS DOUBLE) * d.k * t.D / (SELECT m2 FROM tm)), v.label)) AS label
+  FROM (SELECT e.{listener}, s.label, sum(e.weight) AS w FROM e JOIN {spk_tab} s ON e.{speaker} = s.node
+        GROUP BY e.{listener}, s.label) v
+  JOIN (SELECT l.label, sum(dd.k) AS D FROM (SELECT * FROM {card_tab} UNION ALL SELECT * FROM {merch_tab}) l
+        JOIN deg dd ON dd.node = l.node GROUP BY l.label) t ON t.label = v.label
+  JOIN deg d ON d.node = v.{listener}
+  GROUP BY v.{listener})"""
+    for r in range(1, rounds + 1):
+        parts.append(vote(f"c{r}", "src", "dst", f"m{r-1}", f"c{r-1}", f"m{r-1}"))
+        parts.append(vote(f"m{r}", "dst", "src", f"c{r}", f"c{r}", f"m{r-1}"))
+    parts.append(f"""{out} AS (
   SELECT node, 'card' AS node_type, label AS community_id FROM c{rounds}
   UNION ALL SELECT node, 'merchant' AS node_type, label AS community_id FROM m{rounds})""")
     return ",\n".join(parts)
 
 
-LPA_SQL = _lpa_sql()
+LPA_SQL = _louvain_sql()
+PLAIN_LPA_SQL = _lpa_sql()
 
 CLEAN_HOUR = "CAST((dt // 3600) % 24 AS INTEGER)"
 
@@ -95,7 +125,7 @@ def _edges(spark, sf_dir):
 
 
 def _communities(spark, sf_dir):
-    return G.label_propagation(_edges(spark, sf_dir), LPA_ROUNDS)
+    return G.modularity_communities(_edges(spark, sf_dir), LPA_ROUNDS, RESOLUTION)
 
 
 def _stats(spark, sf_dir, comm=None):
@@ -152,10 +182,17 @@ def dropped_edges(spark, sf_dir):
 
 @register("communities", graph_sql() + "SELECT node, node_type, community_id FROM comm", headline=True)
 def communities(spark, sf_dir):
-    """I3 + E15 (long form): weighted label-propagation communities."""
+    """I3 + E15 (long form): modularity-gain communities (resolution 1)."""
     return _communities(spark, sf_dir)
 
 
+@register("label_propagation", S.ctes(TX_SQL, EDGES_SQL, PLAIN_LPA_SQL)
+          + "SELECT node, node_type, community_id FROM lpa")
+def label_propagation(spark, sf_dir):
+    """Plain weighted label propagation (the baseline detector)."""
+    return G.label_propagation(_edges(spark, sf_dir), LPA_ROUNDS)
+
+
 @register("connected_components", "WITH RECURSIVE " + ",\n".join(
     p.strip("\n") for p in (TX_SQL, EDGES_SQL, """
 und AS (SELECT src, dst FROM e UNION SELECT dst AS src, src AS dst FROM e),
@@ -176,15 +213,15 @@ lab AS (SELECT node, community_id AS c FROM comm),
 m AS (SELECT sum(weight) AS m FROM e),
 intra AS (SELECT ls.c, sum(e.weight) AS l FROM e JOIN lab ls ON ls.node = e.src
           JOIN lab ld ON ld.node = e.dst WHERE ls.c = ld.c GROUP BY ls.c),
-deg AS (SELECT src AS node, weight FROM e UNION ALL SELECT dst AS node, weight FROM e),
-dc AS (SELECT lab.c, sum(weight) AS d FROM deg JOIN lab ON lab.node = deg.node GROUP BY lab.c)""") + """
+dg AS (SELECT src AS node, weight FROM e UNION ALL SELECT dst AS node, weight FROM e),
+dc AS (SELECT lab.c, sum(weight) AS d FROM dg JOIN lab ON lab.node = dg.node GROUP BY lab.c)""") + """
 SELECT round(sum(coalesce(l, 0) / (SELECT m FROM m) - 1.0 * pow(d / (2 * (SELECT m FROM m)), 2)), 9)
        AS modularity
 FROM dc LEFT JOIN intra ON dc.c = intra.c""")
 def modularity(spark, sf_dir):
     """Modularity (resolution 1) of the label-propagation partition."""
     edges = _edges(spark, sf_dir)
-    return G.modularity(edges, G.label_propagation(edges, LPA_ROUNDS), 1.0)
+    return G.modularity(edges, _communities(spark, sf_dir), 1.0)
 
 
 @register("community_stats", graph_sql(STATS_SQL) + "SELECT * FROM rk", headline=True)
@@ -235,7 +272,7 @@ FROM nd LEFT JOIN ed ON nd.community_id = ed.community_id""")
 def community_detail(spark, sf_dir):
     """Node / edge counts per community."""
     edges = _edges(spark, sf_dir)
-    d = G.community_detail(edges, G.label_propagation(edges, LPA_ROUNDS))
+    d = G.community_detail(edges, _communities(spark, sf_dir))
     return d.withColumn("transactions", F.col("transactions").cast("bigint"))
 
 
@@ -257,7 +294,7 @@ WHERE e.src IN (SELECT node FROM comm WHERE community_id = (SELECT cid FROM big)
 def community_subgraph(spark, sf_dir):
     """Induced subgraph of the largest community (semi joins)."""
     edges = _edges(spark, sf_dir)
-    comm = G.label_propagation(edges, LPA_ROUNDS)
+    comm = _communities(spark, sf_dir)
     members = comm.filter(F.col("community_id") == _biggest(comm))
     return G.induced_edges(edges, members).select("src", "dst", "weight")
 
@@ -267,7 +304,7 @@ def display_sample(spark, sf_dir):
     """I8: <= 25 cards and <= 12 merchants of the largest community (seeded
     hash order) with the real edges among them."""
     edges = _edges(spark, sf_dir)
-    comm = G.label_propagation(edges, LPA_ROUNDS)
+    comm = _communities(spark, sf_dir)
     return G.display_sample(edges, comm, _biggest(comm))
 
 
