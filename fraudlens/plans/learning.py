@@ -325,3 +325,81 @@ def time_units(spark, sf_dir):
     tx = transactions(spark, sf_dir).select("transaction_id", "dt", "amt")
     t = L.time_in_hours_if_seconds(tx, "dt", "t")
     return t.select("transaction_id", "t", F.round(F.log1p(F.greatest("amt", F.lit(0.0))), 9).alias("amt_log"))
+
+
+# ---------------------------------------------------------------------------
+# Extra features and fusion variants (J7, B30), card history (C7, G5), samples
+# ---------------------------------------------------------------------------
+@register("ae_community_features", PG.graph_sql(PG.STATS_SQL, PG.NODE_FEAT_SQL, ANOMALY_SQL, """
+t AS (
+  SELECT tx.transaction_id, an.anomaly, coalesce(rk.risk_score, 0.0) AS community_risk
+  FROM tx JOIN an ON an.card_id = tx.card_id AND an.merchant_id = tx.merchant_id
+  LEFT JOIN comm cc ON cc.node = 'card_' || tx.card_id
+  LEFT JOIN rk ON rk.community_id = cc.community_id)""") + """
+SELECT transaction_id, round((anomaly - (SELECT min(anomaly) FROM t)) /
+       ((SELECT max(anomaly) FROM t) - (SELECT min(anomaly) FROM t) + 1e-8), 9) AS ae_anomaly_score,
+       community_risk FROM t""")
+def ae_community_features(spark, sf_dir):
+    """J7 + B27 + D9: auto-encoder score min-max scaled over all edges and
+    the risk of the card's community (any community; 0 when none)."""
+    comm = PG._communities(spark, sf_dir)
+    stats = PG._stats(spark, sf_dir, comm)
+    tx = PG._tx(spark, sf_dir)
+    cards = CM.card_suspicious_risk(tx.select("card_id").distinct(), comm, stats, suspicious_only=False)
+    t = tx.join(_edge_anomaly(spark, sf_dir), ["card_id", "merchant_id"]) \
+          .join(cards.withColumnRenamed("comm_risk", "community_risk"), "card_id", "left")
+    t = L.min_max(t, "anomaly", "ae")
+    return t.select("transaction_id", F.round("ae", 9).alias("ae_anomaly_score"),
+                    F.coalesce("community_risk", F.lit(0.0)).alias("community_risk"))
+
+
+ALPHA = 0.7
+
+
+@register("alpha_fusion", PG.graph_sql(PG.STATS_SQL, SCORE_SQL) + f"""
+SELECT sc.transaction_id, sc.score AS model_prob, coalesce(rk.fraud_rate, 0.05) AS community_risk,
+       round({ALPHA} * sc.score + {1 - ALPHA!r} * coalesce(rk.fraud_rate, 0.05), 9) AS fused_prob
+FROM sc JOIN tx ON tx.transaction_id = sc.transaction_id
+LEFT JOIN comm cc ON cc.node = 'card_' || tx.card_id
+LEFT JOIN rk ON rk.community_id = cc.community_id""")
+def alpha_fusion(spark, sf_dir):
+    """B30 + D8: fused = 0.7 * model probability + 0.3 * community risk (0.05 default)."""
+    comm = PG._communities(spark, sf_dir)
+    stats = PG._stats(spark, sf_dir, comm)
+    tx = PG._tx(spark, sf_dir)
+    cards = CM.card_community_features(tx.select("card_id").distinct(), comm, stats)
+    j = scored(spark, sf_dir).join(tx.select("transaction_id", "card_id"), "transaction_id") \
+        .join(cards.select("card_id", "community_risk"), "card_id", "left")
+    return j.select("transaction_id", F.col("score").alias("model_prob"), "community_risk",
+                    F.round(C.alpha_fusion("score", "community_risk", ALPHA), 9).alias("fused_prob"))
+
+
+HISTORY_N = 20
+
+
+@register("card_history", S.ctes(TX_SQL, f"""
+busiest AS (SELECT arg_min(card_id, (-n, card_id)) AS cid FROM (SELECT card_id, count(*) AS n FROM tx GROUP BY card_id)),
+h AS (SELECT transaction_id, dt, amt, is_fraud FROM tx WHERE card_id = (SELECT cid FROM busiest)
+      ORDER BY dt DESC, transaction_id DESC LIMIT {HISTORY_N})""") + """
+SELECT *, count(*) OVER () AS n, CAST(sum(is_fraud) OVER () AS BIGINT) AS fraud_count,
+       round(avg(amt) OVER (), 9) AS amt_mean, max(amt) OVER () AS amt_max FROM h""")
+def card_history(spark, sf_dir):
+    """C7 + G5 + G9: the busiest card's latest 20 transactions with their
+    count / fraud / mean / max (window over the 20 selected rows)."""
+    from pyspark.sql import Window
+    tx = PG._tx(spark, sf_dir)
+    counts = tx.groupBy("card_id").agg(F.count(F.lit(1)).alias("n"))
+    cid = counts.agg(F.min_by("card_id", F.struct((-F.col("n")).alias("m"), F.col("card_id")))).scalar()
+    h = (tx.filter(F.col("card_id") == cid)
+           .orderBy(F.col("dt").desc(), F.col("transaction_id").desc()).limit(HISTORY_N)
+           .select("transaction_id", "dt", "amt", "is_fraud"))
+    w = Window.partitionBy()
+    return h.select("*", F.count(F.lit(1)).over(w).alias("n"),
+                    F.sum("is_fraud").over(w).cast("bigint").alias("fraud_count"),
+                    F.round(F.avg("amt").over(w), 9).alias("amt_mean"), F.max("amt").over(w).alias("amt_max"))
+
+
+@register("card_sample", S.ctes(TX_SQL) + "SELECT DISTINCT card1 FROM tx ORDER BY card1 LIMIT 10")
+def card_sample(spark, sf_dir):
+    """G10 + E9: first ten distinct card ids (distributed distinct + top-k)."""
+    return transactions(spark, sf_dir).select("card1").distinct().orderBy("card1").limit(10)
