@@ -149,9 +149,13 @@ def collect_model_metrics(spark: SparkSession, candidates: dict[str, list[tuple[
     cand = spark.createDataFrame(rows, "model string, prio int, path string, section string")
     def norm(c):  # file:///a, file:/a and /a name the same file
         return F.regexp_replace(c, "^file:/*", "/")
-    f, p = norm(F.col("_file")), norm(F.col("path"))
-    # A candidate is a file or a Spark output directory holding part files.
-    j = files.join(F.broadcast(cand), (f == p) | f.startswith(F.concat(p, F.lit("/"))))
+    files = files.withColumn("_f", norm(F.col("_file"))).withColumn(
+        "_dir", F.regexp_extract(F.col("_f"), r"^(.*)/[^/]+$", 1))
+    cand = F.broadcast(cand.withColumn("_key", norm(F.col("path"))))
+    # A candidate names the file itself or the Spark output directory
+    # holding it: two equi-joins, no nested-loop join.
+    j = files.join(cand, files["_f"] == cand["_key"]).unionByName(
+        files.join(cand, files["_dir"] == cand["_key"]))
     picked = j.select("model", "prio", *[
         F.coalesce(*[F.when(F.col("section") == s, F.col(f"{s}.{m}")) for s in sections]).alias(m)
         for m in METRIC_NAMES])
