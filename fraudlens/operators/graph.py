@@ -119,7 +119,8 @@ def label_propagation(edges: DataFrame, rounds: int = DEFAULT_LPA_ROUNDS) -> Dat
     labels (alternating avoids the flip-flop of synchronous LPA on a
     bipartite graph).  Stops early at a fixed point.  Output
     ``(node, node_type, community_id)``."""
-    e = edges.select("src", "dst", "weight")
+    # The edge list is read by every round: materialise it once.
+    e = _checkpoint(edges.select("src", "dst", "weight"))
     merch = e.select(F.col("dst").alias("node")).distinct().withColumn("label", F.col("node"))
     merch = _checkpoint(merch)
     cards = None
@@ -165,7 +166,8 @@ def modularity_communities(edges: DataFrame, rounds: int = DEFAULT_LPA_ROUNDS,
     label that plain propagation shows on dense graphs; ``resolution``
     scales it (larger -> smaller communities).  Fixed rounds with an early
     stop at a fixed point; each round is written under the checkpoint dir."""
-    e = edges.select("src", "dst", "weight")
+    # The edge list is read by every round: materialise it once.
+    e = _checkpoint(edges.select("src", "dst", "weight"))
     ends = e.select(F.col("src").alias("node"), "weight").unionByName(
         e.select(F.col("dst").alias("node"), "weight"))
     degree = _checkpoint(ends.groupBy("node").agg(F.sum("weight").alias("k")))
@@ -201,7 +203,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     Each round every node takes the minimum of its own label and its
     neighbours' (a grouped ``min`` aggregate, partial per partition)."""
     e = edges.select("src", "dst").distinct()
-    und = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    und = _checkpoint(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     lab = _checkpoint(und.select(F.col("src").alias("node")).distinct()
                       .withColumn("component", F.col("node")))
     for _ in range(max_rounds):
