@@ -49,3 +49,15 @@ def test_induced_edges_and_sample(spark):
     assert len(sub) == 12 and all(r.src.startswith("card_a") for r in sub)
     sample = G.display_sample(e, comm, cid, max_cards=2, max_merchants=2).collect()
     assert len({r.src for r in sample}) <= 2 and len({r.dst for r in sample}) <= 2
+
+
+def test_components_on_long_chain(spark):
+    # a path of 120 nodes alternating card / merchant: diameter 119
+    rows = []
+    for i in range(60):
+        rows.append((f"card_{i:03d}", f"merchant_{i:03d}", 1))
+        if i + 1 < 60:
+            rows.append((f"card_{i + 1:03d}", f"merchant_{i:03d}", 1))
+    e = spark.createDataFrame(rows, "src string, dst string, weight long")
+    comp = G.connected_components(e, max_rounds=30).collect()
+    assert len(comp) == 120 and {r.component for r in comp} == {"card_000"}
