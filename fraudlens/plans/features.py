@@ -189,10 +189,9 @@ FROM m LEFT JOIN reuse ON m.merchant_id = reuse.merchant_id""".replace("\n, m AS
 
 @register("merchant_features", MERCHANT_FEATURES_SQL, headline=True)
 def merchant_features(spark, sf_dir):
-    """Merchant node table with card reuse and time concentration.
-    The enriched table is written once: the max(dt_std) scalar subquery and
-    the reuse aggregate read it instead of replaying the window stages."""
-    return N.merchant_features(enriched_transactions(spark, sf_dir))
+    """Merchant node table with card reuse and time concentration
+    (the per-merchant aggregate is written once for the max(dt_std) subquery)."""
+    return N.merchant_features(enriched_transactions(spark, sf_dir, checkpoint=False))
 
 
 def _edge_select_sql():
