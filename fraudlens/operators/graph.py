@@ -32,6 +32,16 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return materialize(df, "graph-round")
 
 
+def _any_label_changed(pairs) -> bool:
+    """One job over all (new, old) label tables of a round: did any node move?"""
+    diffs = [new.join(old.withColumnRenamed("label", "_old"), "node")
+                .filter(F.col("label") != F.col("_old")).select("node") for new, old in pairs]
+    u = diffs[0]
+    for d in diffs[1:]:
+        u = u.unionByName(d)
+    return u.limit(1).count() > 0
+
+
 # ---------------------------------------------------------------------------
 # Building blocks
 # ---------------------------------------------------------------------------
@@ -127,14 +137,9 @@ def label_propagation(edges: DataFrame, rounds: int = DEFAULT_LPA_ROUNDS) -> Dat
     for _ in range(rounds):
         new_cards = _checkpoint(_vote(e, merch, "src", "dst"))
         new_merch = _checkpoint(_vote(e, new_cards, "dst", "src"))
-        changed = None
-        if cards is not None:
-            changed = (new_cards.join(cards.withColumnRenamed("label", "old"), "node")
-                       .filter(F.col("label") != F.col("old")).limit(1).count()
-                       + new_merch.join(merch.withColumnRenamed("label", "old"), "node")
-                       .filter(F.col("label") != F.col("old")).limit(1).count())
+        changed = cards is None or _any_label_changed([(new_cards, cards), (new_merch, merch)])
         cards, merch = new_cards, new_merch
-        if changed == 0:
+        if not changed:
             break
     out = cards.withColumn("node_type", F.lit(CARD)).unionByName(
         merch.withColumn("node_type", F.lit(MERCHANT)))
@@ -185,12 +190,9 @@ def modularity_communities(edges: DataFrame, rounds: int = DEFAULT_LPA_ROUNDS,
                                                  two_m, resolution))
         new_merch = _checkpoint(_modularity_vote(e, both(new_cards, merch), "dst", "src", degree,
                                                  two_m, resolution))
-        changed = (new_cards.join(cards.withColumnRenamed("label", "old"), "node")
-                   .filter(F.col("label") != F.col("old")).limit(1).count()
-                   + new_merch.join(merch.withColumnRenamed("label", "old"), "node")
-                   .filter(F.col("label") != F.col("old")).limit(1).count())
+        changed = _any_label_changed([(new_cards, cards), (new_merch, merch)])
         cards, merch = new_cards, new_merch
-        if changed == 0:
+        if not changed:
             break
     out = cards.withColumn("node_type", F.lit(CARD)).unionByName(
         merch.withColumn("node_type", F.lit(MERCHANT)))
