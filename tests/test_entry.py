@@ -22,3 +22,22 @@ def test_stream_scoring_equals_batch(spark, sf):
     stream = P.stream_scoring(spark, sf, cards)
     batch = P.score_transactions(transactions(spark, sf), cards)
     assert stream.exceptAll(batch).count() == 0 and batch.exceptAll(stream).count() == 0
+
+
+def test_stream_velocity_equals_closed_batch_windows(spark, sf):
+    from pyspark.sql import functions as F
+
+    from fraudlens.functions import columns as C
+    stream = P.stream_velocity(spark, sf)
+    tx = transactions(spark, sf).withColumn("event_time", F.timestamp_seconds(F.col("dt") + 1704067200))
+    wm = tx.select(F.max("event_time")).first()[0]
+    batch = (tx.groupBy(F.window("event_time", "1 hour", "30 minutes").alias("w"), "card_id")
+               .agg(F.count(F.lit(1)).alias("tx_count"),
+                    F.sum(C.money("amt")).cast("double").alias("amt_sum"),
+                    F.sum("is_fraud").cast("bigint").alias("fraud_count"))
+               .filter(F.col("w.end") <= F.lit(wm) - F.expr("INTERVAL 1 HOUR"))
+               .select("card_id", (F.unix_seconds("w.start") - 1704067200).alias("window_start"),
+                       (F.unix_seconds("w.end") - 1704067200).alias("window_end"),
+                       "tx_count", "amt_sum", "fraud_count"))
+    assert stream.count() == batch.count() > 0
+    assert stream.exceptAll(batch).count() == 0
