@@ -28,12 +28,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fraudlens.llm._lookup import Table
 from fraudlens.llm._tables import held_out
 from fraudlens.llm._words import as_bytes, blocks
 
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _codes(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,47 +53,14 @@ def _codes(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
     return code[keep], np.cumsum(sizes) - sizes
 
 
-class _Table:
-    """Open-addressing map from a code to a row number, probed a block at a time."""
-
-    def __init__(self, codes: np.ndarray):
-        bits = max(10, int(np.ceil(np.log2(max(len(codes), 1) * 3))))
-        self.shift = np.uint64(64 - bits)
-        self.size = 1 << bits
-        self.key = np.full(self.size, np.iinfo(np.uint64).max, dtype=np.uint64)
-        self.row = np.full(self.size, -1, dtype=np.int32)
-        left, rows = codes, np.arange(len(codes), dtype=np.int32)
-        slot = self._slot(codes)
-        while len(left):
-            free = self.row[slot] < 0
-            first = np.zeros(len(left), dtype=bool)
-            first[np.unique(slot, return_index=True)[1]] = True
-            put = free & first
-            self.key[slot[put]], self.row[slot[put]] = left[put], rows[put]
-            left, rows, slot = left[~put], rows[~put], (slot[~put] + 1) % self.size
-
-    def _slot(self, codes: np.ndarray) -> np.ndarray:
-        return ((codes * _MULTIPLIER) >> self.shift).astype(np.int64)
-
-    def find(self, codes: np.ndarray) -> np.ndarray:
-        slot = self._slot(codes)
-        row = self.row[slot]
-        open_ = np.flatnonzero((row >= 0) & (self.key[slot] != codes))
-        while len(open_):
-            s = slot[open_] = (slot[open_] + 1) % self.size
-            row[open_] = self.row[s]
-            open_ = open_[(self.row[s] >= 0) & (self.key[s] != codes[open_])]
-        return row
-
-
 @dataclass
 class Trees:
     """The context trees of all languages, by order: log-probabilities of the seen
     (context, byte) codes and log-escapes of the contexts, a column a language."""
 
     languages: list[str]
-    seen: list[tuple[_Table, np.ndarray]]
-    escape: list[tuple[_Table, np.ndarray]]
+    seen: list[tuple[Table, np.ndarray]]
+    escape: list[tuple[Table, np.ndarray]]
 
     def log_probability(self, codes: np.ndarray) -> np.ndarray:
         """A row for each code of the highest order."""
@@ -138,8 +105,8 @@ def build(languages: list[str], code: np.ndarray, lang: np.ndarray, count: np.nd
             below = np.full((len(own), m), -np.log(256))
         p = np.where(c > 0, np.log(np.maximum(c, 1) / np.maximum((total + kinds)[of], 1)), esc[of] + below)
         lower = (own, p)
-        seen.append((_Table(own), p.astype(np.float32)))
-        escape.append((_Table(context), esc.astype(np.float32)))
+        seen.append((Table(own), p.astype(np.float32)))
+        escape.append((Table(context), esc.astype(np.float32)))
     return Trees(languages, seen, escape)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fraudlens.llm._tables import documents, read, ship
 
@@ -38,3 +39,34 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by prediction by partial matching."""
     from fraudlens.llm.language import language_predictions
     return language_predictions(documents(spark, sf_dir))
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document by the two-tier lookup."""
+    from fraudlens.llm.token_counts import token_counts
+    return token_counts(documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
+
+
+@query("op10_bpe_segment_tree")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the segment tree and decoded again."""
+    from fraudlens.llm.bpe import decode, encode
+    path = _vocabulary("byte_bpe_50k.json")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    told = decode(encode(docs, path).select("doc_id", "ids"), path)
+    return told.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                       F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("op8_source_mix")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that the mix takes."""
+    from fraudlens.llm.mixing import mixed_documents
+    return mixed_documents(documents(spark, sf_dir))
