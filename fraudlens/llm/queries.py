@@ -70,3 +70,29 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that the mix takes."""
     from fraudlens.llm.mixing import mixed_documents
     return mixed_documents(documents(spark, sf_dir))
+
+
+@query("op4_order_minhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order MinHash of every document and of its edited text."""
+    from fraudlens.llm.fingerprints import as_text, document_fingerprints
+    return document_fingerprints(documents(spark, sf_dir)).select(
+        "doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        as_text(F.col("fingerprint")).alias("fingerprint"), as_text(F.col("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited", "near_next")
+
+
+@query("op7_vantage_point_search", r"""
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_distance(q.e, c.e) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM d QUALIFY rank <= 10
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every vector whose id is divisible by 100."""
+    from fraudlens.llm.neighbours import nearest
+    rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return nearest(rows, rows.filter(F.col("vec_id") % 100 == 0))
