@@ -20,7 +20,10 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Send this package's sources to the Python workers, once an application: the
-    executors need not have it installed."""
+    executors need not have it installed.  Arrow batches are kept small, as some texts
+    are long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return

@@ -31,7 +31,7 @@ from fraudlens.llm._lookup import Table
 from fraudlens.llm._pretokens import Splitter, added_tokens, byte_alphabet, parse
 from fraudlens.llm._words import as_bytes, blocks
 
-CACHE = 600_000
+CACHE = 300_000
 _NONE = np.iinfo(np.int64).max
 
 
@@ -92,7 +92,7 @@ class Encoder:
         level = np.ceil(np.log2(np.maximum(size, 2))).astype(int)
         for bits in np.unique(level):
             of = np.flatnonzero((level == bits) & (size > 0))
-            step = max(1, (1 << 21) >> bits)
+            step = max(1, (1 << 19) >> bits)
             for lo in range(0, len(of), step):
                 at = of[lo:lo + step]
                 ids, n = self._forest(raw, start[at], size[at], int(bits))
@@ -195,46 +195,51 @@ def read_file(path: str) -> str:
         return f.read()
 
 
-def _with(docs: DataFrame, name: str, kind, make) -> DataFrame:
-    """``docs`` with a column that ``make`` computes from each Arrow batch."""
-    names = [c for c in docs.columns if c != name]
-    schema = StructType([*(docs.schema[c] for c in names), StructField(name, kind)])
+def _with(docs: DataFrame, new: list[StructField], make) -> DataFrame:
+    """``docs`` with the columns ``new``, which ``make`` computes from each Arrow batch."""
+    added = [f.name for f in new]
+    names = [c for c in docs.columns if c not in added]
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), make(b)],
-                                             names=[*names, name])
-    return docs.mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), *make(b)], names=[*names, *added])
+    return docs.mapInArrow(run, StructType([*(docs.schema[c] for c in names), *new]))
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with the token ids of the column ``text`` as array<int> ``out``."""
+def _encoded(own: Encoder, texts: list[bytes]) -> pa.Array:
+    ids, count = [np.zeros(0, dtype=np.int32)], [np.zeros(1, dtype=np.int64)]
+    for lo, hi in blocks(texts):
+        i, n = own.encode([t.decode("utf-8", "replace") for t in texts[lo:hi]])
+        ids.append(i)
+        count.append(n)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(count)).astype(np.int32)), pa.array(np.concatenate(ids)))
+
+
+def _decoded(own: Encoder, lists: pa.Array) -> pa.Array:
+    flat = np.asarray(lists.flatten())
+    count = np.asarray(lists.value_lengths().fill_null(0))
+    texts, at = [], np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
+    for lo in range(0, len(count), 256):
+        hi = min(lo + 256, len(count))
+        texts += own.decode(flat[at[lo]:at[hi]], count[lo:hi])
+    return pa.array(texts, pa.string())
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the token ids of the column ``text`` as array<int> ``out``, and, if
+    ``decoded`` names a column, with the text that these ids decode to."""
     file_text = read_file(path)
 
     def make(b):
         own = _encoder(file_text)
-        texts = as_bytes(b.column(b.schema.get_field_index(text)))
-        ids, count = [np.zeros(0, dtype=np.int32)], [np.zeros(1, dtype=np.int64)]
-        for lo, hi in blocks(texts):
-            i, n = own.encode([t.decode("utf-8", "replace") for t in texts[lo:hi]])
-            ids.append(i)
-            count.append(n)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(count)).astype(np.int32)), pa.array(np.concatenate(ids)))
-    return _with(docs.withColumn(text, F.col(text).cast("string")), out, ArrayType(IntegerType()), make)
+        ids = _encoded(own, as_bytes(b.column(b.schema.get_field_index(text))))
+        return [ids] if decoded is None else [ids, _decoded(own, ids)]
+    new = [StructField(out, ArrayType(IntegerType())), *([StructField(decoded, StringType())] if decoded else [])]
+    return _with(docs.withColumn(text, F.col(text).cast("string")), new, make)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the text of the token ids in column ``ids`` (null: empty) as ``out``."""
     file_text = read_file(path)
-
-    def make(b):
-        own = _encoder(file_text)
-        lists = b.column(b.schema.get_field_index(ids))
-        flat = np.asarray(lists.flatten())
-        count = np.asarray(lists.value_lengths().fill_null(0))
-        texts, at = [], np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
-        for lo in range(0, len(count), 256):
-            hi = min(lo + 256, len(count))
-            texts += own.decode(flat[at[lo]:at[hi]], count[lo:hi])
-        return pa.array(texts, pa.string())
-    return _with(docs, out, StringType(), make)
+    return _with(docs, [StructField(out, StringType())],
+                 lambda b: [_decoded(_encoder(file_text), b.column(b.schema.get_field_index(ids)))])

@@ -56,10 +56,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bpe_segment_tree")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the segment tree and decoded again."""
-    from fraudlens.llm.bpe import decode, encode
-    path = _vocabulary("byte_bpe_50k.json")
+    from fraudlens.llm.bpe import encode
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    told = decode(encode(docs, path).select("doc_id", "ids"), path)
+    told = encode(docs, _vocabulary("byte_bpe_50k.json"), decoded="decoded")
     return told.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                        F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -86,7 +85,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-d AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_distance(q.e, c.e) AS score
+d AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e),
+             lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS score
       FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM d QUALIFY rank <= 10
