@@ -96,3 +96,10 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fraudlens.llm.neighbours import nearest
     rows = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     return nearest(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
+@query("op3_minhash_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of the documents by the signature-coordinate inverted join."""
+    from fraudlens.llm.near_duplicates import near_duplicates
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
