@@ -103,3 +103,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of the documents by the signature-coordinate inverted join."""
     from fraudlens.llm.near_duplicates import near_duplicates
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op5_suffix_tree_repeats")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that an earlier document has."""
+    from fraudlens.llm.repeats import without_repeats
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
