@@ -9,7 +9,11 @@ from fraudlens.llm import stages
 from fraudlens.llm._tables import documents, materialize, ship
 
 STAGES = [
-    ("language_id", stages.language_id),
+    ("language_id", stages.language_id),  # 6: PPM; documents that it rejects go
+    ("near_dedup", stages.near_dedup),  # 3: MinHash join; one document of each class stays
+    ("substring_dedup", stages.substring_dedup),  # 5: suffix trees; repeated passages go
+    ("source_mix", stages.source_mix),  # 8: sources to target weights
+    ("tokens", stages.tokens),  # 10: BPE with a segment tree
 ]
 
 #: Language models and byte-pair merges have no SQL form; tests compare run() with brute force.

@@ -78,15 +78,15 @@ def _signature(own: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, node (a hash of the set) and signature of every row."""
+    """doc_id, tag, n_shingles, node (a hash of the set) and signature of every row."""
     def run(batches):
         for b in batches:
             sets = shingle_sets(as_bytes(b.column("text")), shingle)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()),
+                [b.column("doc_id"), b.column("tag"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()),
                  pa.array([_signature(s) if len(s) else None for s in sets], pa.list_(pa.int32()))],
-                names=["doc_id", "n_shingles", "node", "signature"])
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, signature array<int>")
+                names=["doc_id", "tag", "n_shingles", "node", "signature"])
+    return docs.mapInArrow(run, "doc_id bigint, tag bigint, n_shingles bigint, node bigint, signature array<int>")
 
 
 def postings(nodes: DataFrame) -> DataFrame:
@@ -208,8 +208,9 @@ def pairs_left(posted: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFra
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, node, component_id and kept of every row of ``docs``."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """doc_id, tag (a hash of the text), n_shingles, node, component_id and kept of
+    every row of ``docs``."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), text_tag())
     told = materialize(signatures(docs, shingle), "near-signatures")
     some = told.filter("n_shingles > 0")
     nodes = materialize(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "near-nodes")
@@ -242,4 +243,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
              .select("node", F.coalesce("component_id", "doc_id").alias("component_id")))
     out = some.join(named, "node").unionByName(
         told.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")), allowMissingColumns=True)
-    return out.select("doc_id", "n_shingles", "node", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "tag", "n_shingles", "node", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def text_tag() -> Column:
+    return F.xxhash64(F.col("text").cast("string")).alias("tag")
+
+
+def without_near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay: of each class one of its least id (of several
+    texts of that id the one of least hash), and every row without words."""
+    told = near_duplicates(docs, shingle, percent).filter("kept")
+    one = told.filter("n_shingles > 0").groupBy(F.col("component_id").alias("keep_id")).agg(F.min("tag").alias("keep_tag"))
+    bare = told.filter("n_shingles = 0").select(F.col("doc_id").alias("keep_id"), F.col("tag").alias("keep_tag")).distinct()
+    names = docs.columns
+    keyed = docs.withColumn("_id", F.col("doc_id").cast("bigint")).withColumn("_tag", text_tag())
+
+    def rows(keep: DataFrame) -> DataFrame:
+        return keyed.join(keep, F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_tag") == F.col("keep_tag")), "left_semi")
+    return rows(one).dropDuplicates(["_id", "_tag"]).unionByName(rows(bare)).select(*names)
