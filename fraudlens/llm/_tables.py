@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import fraudlens
-from fraudlens.session import materialize
+from fraudlens.session import materialize as _written
 
 __all__ = ["documents", "held_out", "materialize", "read", "ship", "tasks"]
 
@@ -52,3 +52,12 @@ def held_out(doc_id="doc_id"):
 def tasks(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared checkpoint folder.  The shuffle files it was made
+    from are of no more use; Spark removes them when the driver's garbage collector
+    finds their stages gone, which is asked for here, as it may take long otherwise."""
+    out = _written(df, name)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out

@@ -14,11 +14,11 @@ other is left out.  Skip: of a pair that meets in a list, the other lists are no
 merged; the agreements are counted in the two signatures.
 
 Large groups of near copies would meet as all pairs.  So each list has a few hubs
-(the nodes with the longest lists in all, the most central ones), and first only
-pairs with a hub are confirmed: as many as postings.  Nodes that this links are one
-component, and then only the pairs between different components of a list are left.
-They are counted and confirmed in tasks of a block of nodes each (``pairs_left``):
-no pair is written out unless it links, and none is dropped.
+(the nodes with the longest lists in all, the most central ones), and first only the
+pairs with a hub are counted and confirmed: a few for each posting.  Nodes that this
+links are one component, and then only pairs between different components of a list
+are left.  Long lists are worked on in blocks of nodes; pairs travel as one list of
+partners a node and bucket, and none is dropped.
 
 Defined cases: a null or empty text, or one without words, has no shingle and is a
 component of its own; a text with fewer words has the whole sequence as its shingle;
@@ -39,9 +39,11 @@ from fraudlens.llm._words import Words, as_bytes, blocks, mix
 
 COORDINATES = 64
 MATCHES = 36
-HUBS = 8
-#: Nodes of one posting list in one block of ``pairs_left``.
+HUBS = 4
+#: Nodes of one posting list in one block; postings in one task; pairs counted at once.
 BLOCK = 1024
+ROWS = 65_536
+PAIRS = 1 << 18
 _SALT = np.random.default_rng(3).integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
@@ -78,15 +80,18 @@ def _signature(own: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, tag, n_shingles, node (a hash of the set) and signature of every row."""
+    """doc_id, tag, n_shingles, node (a hash of the set), signature and sketch (the
+    lowest byte of each of its values) of every row."""
     def run(batches):
         for b in batches:
             sets = shingle_sets(as_bytes(b.column("text")), shingle)
+            values = [_signature(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("tag"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()),
-                 pa.array([_signature(s) if len(s) else None for s in sets], pa.list_(pa.int32()))],
-                names=["doc_id", "tag", "n_shingles", "node", "signature"])
-    return docs.mapInArrow(run, "doc_id bigint, tag bigint, n_shingles bigint, node bigint, signature array<int>")
+                 pa.array(values, pa.list_(pa.int32())),
+                 pa.array([None if v is None else v.astype(np.uint8).tobytes() for v in values], pa.binary())],
+                names=["doc_id", "tag", "n_shingles", "node", "signature", "sketch"])
+    return docs.mapInArrow(run, "doc_id bigint, tag bigint, n_shingles bigint, node bigint, signature array<int>, sketch binary")
 
 
 def postings(nodes: DataFrame) -> DataFrame:
@@ -105,14 +110,11 @@ def postings(nodes: DataFrame) -> DataFrame:
     return own.withColumn("weight", weight).withColumn("list", F.explode(prefix)).select("list.list", "node", "weight")
 
 
-def hub_pairs(posted: DataFrame) -> DataFrame:
-    """node, hub: every posting with the hubs of its list."""
+def hubs_of(posted: DataFrame) -> DataFrame:
+    """list, node of the hubs: of each of HUBS parts of a list the node of most weight."""
     part = F.pmod(F.xxhash64("node"), F.lit(HUBS))
-    hubs = posted.groupBy("list").agg(*[
-        F.max(F.when(part == i, F.struct("weight", "node")))["node"].alias(f"h{i}") for i in range(HUBS)])
-    pairs = posted.join(hubs, "list").select("node", F.array(*[f"h{i}" for i in range(HUBS)]).alias("hubs"))
-    return (pairs.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_set("hubs"))).alias("hubs"))  # HUBS a list of its prefix
-            .select("node", F.explode("hubs").alias("hub")).filter(F.col("hub").isNotNull() & (F.col("hub") != F.col("node"))))
+    most = posted.groupBy("list").agg(*[F.max(F.when(part == i, F.struct("weight", "node")))["node"].alias(f"h{i}") for i in range(HUBS)])
+    return most.select("list", F.explode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("node")).filter("node IS NOT NULL")
 
 
 def confirmed(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -152,59 +154,82 @@ def _bucket(node: Column, spark) -> Column:
     return F.pmod(node, F.lit(_buckets(spark)))
 
 
-def pairs_left(posted: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
-    """node, bucket, others: pairs of a list that are of different components and agree
-    in MATCHES coordinates, each in the first list that both have posted.
-
-    A list's largest component stands aside; every node outside it is held against all
-    nodes of the list, a block of BLOCK against a block of BLOCK a task."""
-    of = posted.join(label, "node", "left").withColumn("component", F.coalesce("component", "node")).select("list", "node", "component")
-    sizes = of.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"))
-    lists = (sizes.groupBy("list").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("most"))
-             .filter(F.col("most.n") < F.col("all"))
-             .select("list", F.col("most.component").alias("main"),
-                     F.ceil(F.col("all") / BLOCK).cast("bigint").alias("blocks"),
-                     F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("bigint").alias("open_blocks")))
-    prefix = posted.groupBy("node").agg(F.collect_list(F.shiftright("list", 32).cast("int")).alias("posted"))
-    mine = (of.join(lists, "list").join(prefix, "node").join(nodes.select("node", "signature"), "node")
-            .withColumn("own_block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-            .withColumn("own_open", F.pmod(F.xxhash64("node"), F.col("open_blocks"))))
+def pairs(posted: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, bucket, others: of each list its open nodes with all nodes of other
+    components, where MATCHES coordinates agree, each pair in the first list that both
+    have posted.  posted: list, node, component, open."""
+    spark = posted.sparkSession
+    sizes = posted.groupBy("list").agg(F.count(F.lit(1)).alias("all"), F.count_if("open").alias("some")).filter("all > 1 AND some > 0")
+    lists = sizes.select("list", F.ceil(F.col("all") / BLOCK).cast("bigint").alias("blocks"), F.ceil(F.col("some") / BLOCK).cast("bigint").alias("open_blocks"))
+    prefix = posted.groupBy("node").agg(F.collect_list("list").alias("prefix"))  # at most COORDINATES
+    mine = posted.join(prefix.join(nodes.select("node", "sketch"), "node"), "node").join(lists, "list")
 
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    names = ["list", "block", "open_block", "node", "component", "signature", "posted"]
-    held = mine.withColumn("block", F.col("own_block")).withColumn("open_block", every("open_blocks")).select(*names)
-    asked = (mine.filter("component <> main").withColumn("open_block", F.col("own_open")).withColumn("block", every("blocks"))
-             .select(*[F.col(c).alias(f"open_{c}") for c in names]))
 
-    buckets = _buckets(posted.sparkSession)
+    def own(n: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(n))
+    tasks_ = max(tasks(spark), -(-posted.count() // ROWS))
+    # a cell: a block of a list's nodes against a block of its open nodes; a task has many cells
+    cell = F.xxhash64("list", "block", "open_block")
+    names = ["task", "cell", "coordinate", "node", "component", "prefix", "sketch"]
+
+    def rows(df: DataFrame, prefix: str) -> DataFrame:
+        df = df.withColumn("cell", cell).withColumn("task", F.pmod("cell", F.lit(tasks_))).withColumn("coordinate", F.shiftright("list", 32).cast("int"))
+        return df.select(*[F.col(c).alias(prefix + c) for c in names])
+    held = rows(mine.withColumn("block", own("blocks")).withColumn("open_block", every("open_blocks")), "")
+    asked = rows(mine.filter("open").withColumn("open_block", own("open_blocks")).withColumn("block", every("blocks")), "open_")
+    buckets = _buckets(spark)
 
     def count(theirs: pa.Table, open_: pa.Table) -> pa.Table:
         def read(t: pa.Table):
-            t = t.rename_columns(names)
-            sig = np.asarray(t.column("signature").combine_chunks().flatten()).reshape(-1, COORDINATES)
-            has = np.zeros((t.num_rows, COORDINATES), dtype=bool)
-            for i, p in enumerate(t.column("posted").to_pylist()):
-                has[i, p] = True
-            return np.asarray(t.column("node").combine_chunks()), np.asarray(t.column("component").combine_chunks()), sig, has
-        node, bucket, others = [], [], []
+            t = t.rename_columns(names).combine_chunks()
+            lists = t.column("prefix").combine_chunks()
+            row = np.repeat(np.arange(t.num_rows), np.asarray(lists.value_lengths()))
+            flat = np.asarray(lists.flatten())
+            value, has = np.zeros((t.num_rows, COORDINATES), dtype=np.uint32), np.zeros((t.num_rows, COORDINATES), dtype=bool)
+            value[row, flat >> 32], has[row, flat >> 32] = (flat & 0xFFFFFFFF).astype(np.uint32), True
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
+            return *(np.asarray(t.column(c).combine_chunks()) for c in ("cell", "coordinate", "node", "component")), value, has, sketch
+        u, v = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         if theirs.num_rows and open_.num_rows:
-            here = theirs.column("list")[0].as_py() >> 32
-            n, c, s, p = read(theirs)
-            for i, ci, si, pi in zip(*read(open_)):
-                same = s == si
-                both = same & p & pi
-                ok = (c != ci) & (same.sum(axis=1) >= MATCHES) & ~both[:, :here].any(axis=1)
-                found = n[ok]
-                for k in np.unique(found % buckets):
-                    node.append(i)
-                    bucket.append(k)
-                    others.append(found[found % buckets == k])
-        size = np.cumsum([0] + [len(x) for x in others]).astype(np.int32)
-        flat = np.concatenate(others) if others else np.zeros(0, dtype=np.int64)
-        return pa.table({"node": pa.array(node, pa.int64()), "bucket": pa.array(bucket, pa.int64()), "others": pa.ListArray.from_arrays(size, flat)})
-    keys = names[:3]
-    return held.groupBy(*keys).cogroup(asked.groupBy(*[f"open_{c}" for c in keys])).applyInArrow(count, "node bigint, bucket bigint, others array<bigint>")
+            c1, _, n1, k1, v1, h1, s1 = read(theirs)
+            c2, at2, n2, k2, v2, h2, s2 = read(open_)
+            order = np.argsort(c1, kind="stable")
+            lo, hi = np.searchsorted(c1[order], c2), np.searchsorted(c1[order], c2, side="right")
+            upto = np.cumsum(hi - lo)
+            begin = 0
+            while begin < len(c2):
+                end = max(begin + 1, int(np.searchsorted(upto, (upto[begin - 1] if begin else 0) + PAIRS, side="right")))
+                n = (hi - lo)[begin:end]
+                i = np.repeat(np.arange(begin, end), n)
+                j = order[np.arange(n.sum()) + np.repeat(lo[begin:end] - (np.cumsum(n) - n), n)]
+                i, j = (x[k1[j] != k2[i]] for x in (i, j))
+                enough = (s1[j] == s2[i]).sum(axis=1) >= MATCHES
+                i, j = i[enough], j[enough]
+                both = (v1[j] == v2[i]) & h1[j] & h2[i]
+                first = both.argmax(axis=1) == at2[i]
+                u.append(n2[i[first]])
+                v.append(n1[j[first]])
+                begin = end
+        a, b = np.concatenate(u), np.concatenate(v)
+        to = b % buckets
+        order = np.lexsort((to, a))
+        a, b, to = a[order], b[order], to[order]
+        cut = np.flatnonzero(np.concatenate((np.ones(min(len(a), 1), dtype=bool), (a[1:] != a[:-1]) | (to[1:] != to[:-1]))))
+        others = pa.ListArray.from_arrays(pa.array(np.append(cut, len(a)).astype(np.int32)), pa.array(b))
+        return pa.table({"node": a[cut], "bucket": to[cut], "others": others})
+    return held.groupBy("task").cogroup(asked.groupBy("open_task")).applyInArrow(count, "node bigint, bucket bigint, others array<bigint>")
+
+
+def outside_main(posted: DataFrame, label: DataFrame) -> DataFrame:
+    """list, node, component, open of the lists with several components: open are the
+    nodes outside a list's largest component."""
+    of = posted.select("list", "node").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = of.groupBy("list", "component").agg(F.count(F.lit(1)).alias("n"))
+    main = (sizes.groupBy("list").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component"))["component"].alias("main"))
+            .filter("parts > 1").select("list", "main"))
+    return of.join(main, "list").select("list", "node", "component", (F.col("component") != F.col("main")).alias("open"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
@@ -213,7 +238,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), text_tag())
     told = materialize(signatures(docs, shingle), "near-signatures")
     some = told.filter("n_shingles > 0")
-    nodes = materialize(some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "near-nodes")
+    nodes = materialize(some.groupBy("node").agg(
+        F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")), "near-nodes")
     posted = materialize(postings(nodes), "near-postings")
 
     # full sets of the nodes that are posted, from one document each
@@ -229,12 +255,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
             .mapInArrow(read_sets, "node bigint, found bigint, members binary").filter("node = found").drop("found"))
     sets = materialize(sets, "near-sets")
 
-    # a hub asks; its nodes' sets stay in their buckets
-    asked = (hub_pairs(posted).groupBy(F.col("hub").alias("node"), _bucket(F.col("node"), docs.sparkSession).alias("bucket"))
-             .agg(F.collect_set("node").alias("others")))
-    links = materialize(confirmed(asked, sets, percent), "near-links")
+    hub = hubs_of(posted).withColumn("hub", F.lit(True))
+    first = (posted.select("list", "node").join(hub, ["list", "node"], "left")
+             .select("list", "node", F.col("node").alias("component"), F.coalesce("hub", F.lit(False)).alias("open")))
+    links = materialize(confirmed(pairs(materialize(first, "near-hubs"), nodes), sets, percent), "near-links")
     label = materialize(components(links), "near-components")
-    rest = materialize(pairs_left(posted, nodes, label), "near-left")
+    rest = materialize(pairs(materialize(outside_main(posted, label), "near-open"), nodes), "near-left")
     more = materialize(confirmed(rest, sets, percent), "near-links")
     label = materialize(components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "near-components")
 
