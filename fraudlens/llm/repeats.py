@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from fraudlens.llm._tables import tasks
+from fraudlens.llm._tables import materialize, tasks
 from fraudlens.llm._words import Words, as_bytes, blocks, mix
 
-#: Suffixes of a group, bytes of text that a map task settles at once.
+#: Suffixes of a group, bytes of text that a map task settles at once, and bytes of
+#: text in a bucket of documents.
 GROUP = 2_000_000
-SETTLE = 12 << 20
+SETTLE = 8 << 20
+BUCKET = 8 << 20
 _PREFIXES = 4096
 #: Bits of a node's name within its group.
 _BITS = 56
@@ -100,17 +102,20 @@ class Groups:
         return self.table[self.first[bucket] + (mix(name) % self.parts[bucket]).astype(np.int64)]
 
 
-def _prefix_counts(docs: DataFrame, window: int) -> np.ndarray:
+def _prefix_counts(docs: DataFrame, window: int) -> tuple[np.ndarray, int]:
+    """The suffixes of each prefix bucket, and the bytes of text."""
     def run(batches):
-        n = np.zeros(_PREFIXES, dtype=np.int64)
+        n = np.zeros(_PREFIXES + 1, dtype=np.int64)
         for b in batches:
-            for _, _, bucket, _ in _suffixes(as_bytes(b.column("text")), window):
-                n += np.bincount(bucket, minlength=_PREFIXES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_PREFIXES, dtype=np.int32)), pa.array(n)], names=["bucket", "n"])
-    out = np.zeros(_PREFIXES, dtype=np.int64)  # that many rows reach the driver
+            texts = as_bytes(b.column("text"))
+            n[-1] += sum(map(len, texts))
+            for _, _, bucket, _ in _suffixes(texts, window):
+                n[:-1] += np.bincount(bucket, minlength=_PREFIXES)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_PREFIXES + 1, dtype=np.int32)), pa.array(n)], names=["bucket", "n"])
+    out = np.zeros(_PREFIXES + 1, dtype=np.int64)  # that many rows reach the driver
     for r in docs.select("text").mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r.bucket] = r.n
-    return out
+    return out[:-1], int(out[-1])
 
 
 _BLOCK = "grp int, docs binary, n_docs int, names binary, places binary, n int, id bigint, tag int, marks binary"
@@ -156,13 +161,17 @@ def _settle(texts: list[bytes], ids: np.ndarray, tags: np.ndarray, groups: Group
     return rows
 
 
-def _marks(t: pa.Table) -> pa.Table:
-    """Of a group: (id, tag, marks) of the texts whose suffixes repeat in one of a smaller id."""
-    out: list[tuple[int, int, bytes]] = []
+def _marks(t: pa.Table, buckets: int) -> pa.Table:
+    """Of a group the marks, a row for each bucket of documents: (id, tag, position) of
+    the suffixes that repeat in a document of a smaller id."""
+    ids, tags, at = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.uint32)]
     names, doc_id, doc_tag, pos = [], [], [], []
     for r in t.to_pylist():
         if r["marks"] is not None:
-            out.append((r["id"], r["tag"], r["marks"]))
+            p = _positions(r["marks"])
+            ids.append(np.full(len(p), r["id"], dtype=np.int64))
+            tags.append(np.full(len(p), r["tag"], dtype=np.int32))
+            at.append(p.astype(np.uint32))
             continue
         n, k = r["n"], r["n_docs"]
         head = _unpack(r["docs"], 2 * k, np.uint64).view(np.int64)
@@ -172,25 +181,33 @@ def _marks(t: pa.Table) -> pa.Table:
         doc_tag.append(head[k:][place[:n]].astype(np.int32))
         pos.append(place[n:])
     if names:
-        name, own, tag, at = (np.concatenate(x) for x in (names, doc_id, doc_tag, pos))
+        name, own, tag, places = (np.concatenate(x) for x in (names, doc_id, doc_tag, pos))
         order = np.argsort(name, kind="stable")
         name = name[order]
         start = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
         least = np.repeat(np.minimum.reduceat(own[order], start), np.diff(np.append(start, len(name))))
         hit = order[own[order] > least]
-        own, tag, at = own[hit], tag[hit], at[hit].astype(np.int64)
-        order = np.lexsort((at, tag, own))
-        own, tag, at = own[order], tag[order], at[order]
-        cut = np.flatnonzero(np.concatenate(([True], (own[1:] != own[:-1]) | (tag[1:] != tag[:-1])))) if len(own) else []
-        for lo, hi in zip(cut, np.append(cut[1:], len(own))):
-            out.append((int(own[lo]), int(tag[lo]), _steps(at[lo:hi])))
-    cols = list(zip(*out)) if out else [[], [], []]
-    return pa.table({"id": pa.array(cols[0], pa.int64()), "tag": pa.array(cols[1], pa.int32()), "marks": pa.array(cols[2], pa.binary())})
-
-
-def repeat_marks(docs: DataFrame, window: int) -> DataFrame:
-    """(id, tag, marks): starts of windows to remove; from rows (id, tag, text)."""
-    groups = Groups(_prefix_counts(docs, window), tasks(docs.sparkSession))
+        ids.append(own[hit])
+        tags.append(tag[hit])
+        at.append(places[hit])
+    ids, tags, at = np.concatenate(ids), np.concatenate(tags), np.concatenate(at)
+    to = tags % buckets
+    order = np.lexsort((at, ids, tags, to))
+    ids, tags, at, to = ids[order], tags[order], at[order], to[order]
+    cut = np.flatnonzero(np.diff(to, prepend=-1))
+    rows = list(zip(cut, np.append(cut[1:], len(to))))
+    return pa.table({"bucket": pa.array(to[cut], pa.int32()), "n": pa.array([int(hi - lo) for lo, hi in rows], pa.int32()),
+                     "ids": pa.array([_pack(np.diff(ids[lo:hi], prepend=0)) for lo, hi in rows], pa.binary()),
+                     "tags": pa.array([_pack(tags[lo:hi]) for lo, hi in rows], pa.binary()),
+                     "places": pa.array([_pack(np.diff(at[lo:hi].astype(np.int32), prepend=np.int32(0))) for lo, hi in rows], pa.binary())})
+
+
+def repeat_marks(docs: DataFrame, window: int) -> tuple[DataFrame, int]:
+    """The marks of rows (id, tag, text), packed by bucket of documents (the tag modulo
+    their number), and the number of buckets."""
+    counts, size_ = _prefix_counts(docs, window)
+    groups = Groups(counts, tasks(docs.sparkSession))
+    buckets = max(tasks(docs.sparkSession), -(-size_ // BUCKET))
 
     def run(batches):
         texts, ids, tags, size = [], [], [], 0
@@ -211,7 +228,9 @@ def repeat_marks(docs: DataFrame, window: int) -> DataFrame:
                 size += len(t)
         if texts:
             yield from flush()
-    return docs.select("id", "tag", "text").mapInArrow(run, _BLOCK).groupBy("grp").applyInArrow(_marks, "id bigint, tag int, marks binary")
+    marks = docs.select("id", "tag", "text").mapInArrow(run, _BLOCK).groupBy("grp").applyInArrow(
+        lambda t: _marks(t, buckets), "bucket int, n int, ids binary, tags binary, places binary")
+    return materialize(marks, "repeat-marks"), buckets
 
 
 def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
@@ -221,35 +240,42 @@ def without_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
     new = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType()),
            StructField("repeats", ArrayType(StructType([StructField("from", IntegerType()), StructField("to", IntegerType())])))]
     keyed = docs.select(*names, F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("_id"),
-                        F.hash("text").alias("_tag"), F.col("text").cast("string").alias("_text"))
-    marks = repeat_marks(keyed.select(F.col("_id").alias("id"), F.col("_tag").alias("tag"), F.col("_text").alias("text")), window)
-    marks = marks.groupBy("id", "tag").agg(F.collect_list("marks").alias("_marks"))  # a document's own
-    joined = keyed.join(marks, (F.col("_id") == F.col("id")) & (F.col("_tag") == F.col("tag")), "left").select(*names, "_text", "_marks")
+                        F.hash("doc_id", "text").alias("_tag"), F.col("text").cast("string").alias("_text"))
+    marks, buckets = repeat_marks(keyed.select(F.col("_id").alias("id"), F.col("_tag").alias("tag"), F.col("_text").alias("text")), window)
+    keyed = keyed.withColumn("_bucket", F.pmod("_tag", F.lit(buckets)))
     schema = StructType([*docs.schema.fields, *new])
 
-    def run(batches):
-        for b in batches:
-            n_words, n_removed, kept, repeats = [], [], [], []
-            for t, m in zip(as_bytes(b.column("_text")), b.column("_marks").to_pylist()):
-                words = t.split()
-                n_words.append(len(words))
-                if not m:
-                    n_removed.append(0)
-                    kept.append(b" ".join(words))
-                    repeats.append([])
-                    continue
-                edge = np.zeros(len(words) + 1, dtype=np.int64)
-                at = np.concatenate([_positions(x) for x in m])
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + window, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-                turn = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
-                n_removed.append(int(gone.sum()))
-                kept.append(b" ".join(compress(words, ~gone)))
-                repeats.append([{"from": int(x), "to": int(y)} for x, y in zip(turn[::2], turn[1::2])])
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(len(names))), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
-                 pa.array([k.decode("utf-8", "replace") for k in kept], pa.string()),
-                 pa.array(repeats, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))],
-                names=[f.name for f in schema])
-    return joined.mapInArrow(run, schema)
+    def run(own: pa.Table, marked: pa.Table) -> pa.Table:
+        ids, tags, at = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+        for r in marked.to_pylist():
+            ids.append(np.cumsum(_unpack(r["ids"], r["n"], np.int64)))
+            tags.append(_unpack(r["tags"], r["n"], np.int32))
+            at.append(np.cumsum(_unpack(r["places"], r["n"], np.int32)).astype(np.int64))
+        ids, tags, at = np.concatenate(ids), np.concatenate(tags), np.concatenate(at)
+        order = np.lexsort((at, ids, tags))
+        ids, tags, at = ids[order], tags[order], at[order]
+        cut = np.flatnonzero(np.concatenate((np.ones(min(len(at), 1), dtype=bool), (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]))))
+        of = {(int(ids[lo]), int(tags[lo])): at[lo:hi] for lo, hi in zip(cut, np.append(cut[1:], len(at)))}
+        n_words, n_removed, kept, repeats = [], [], [], []
+        columns = (own.column(c).to_pylist() for c in ("_id", "_tag"))
+        for t, *key in zip(as_bytes(own.column("_text")), *columns):
+            words = t.split()
+            n_words.append(len(words))
+            marks = of.get(tuple(key))
+            if marks is None:
+                n_removed.append(0)
+                kept.append(b" ".join(words))
+                repeats.append([])
+                continue
+            edge = np.bincount(marks, minlength=len(words) + 1) - np.bincount(marks + window, minlength=len(words) + 1)
+            gone = np.cumsum(edge[:-1]) > 0
+            turn = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0))
+            n_removed.append(int(gone.sum()))
+            kept.append(b" ".join(compress(words, ~gone)))
+            repeats.append([{"from": int(x), "to": int(y)} for x, y in zip(turn[::2], turn[1::2])])
+        return pa.Table.from_arrays(
+            [*(own.column(i) for i in range(len(names))), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+             pa.array([k.decode("utf-8", "replace") for k in kept], pa.string()),
+             pa.array(repeats, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))],
+            names=[f.name for f in schema])
+    return keyed.groupBy("_bucket").cogroup(marks.groupBy("bucket")).applyInArrow(run, schema)
