@@ -232,6 +232,26 @@ def outside_main(posted: DataFrame, label: DataFrame) -> DataFrame:
     return of.join(main, "list").select("list", "node", "component", (F.col("component") != F.col("main")).alias("open"))
 
 
+def _ends(found: DataFrame) -> DataFrame:
+    """The nodes of pairs."""
+    return found.select("node").unionByName(found.select(F.explode("others").alias("node"))).distinct()
+
+
+def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """node, members (the full set) of the wanted nodes, from a document each."""
+    first = nodes.join(wanted, "node", "left_semi").select(F.col("doc_id").alias("_of"), "node")
+
+    def run(batches):
+        for b in batches:
+            sets = shingle_sets(as_bytes(b.column("text")), shingle)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("node"), pa.array([_node(s) for s in sets], pa.int64()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "found", "members"])
+    # rows of one id may have other texts, and sets, than the wanted one
+    return (docs.join(first, F.coalesce("doc_id", F.lit(-1)) == F.coalesce("_of", F.lit(-1))).select("node", "text")
+            .mapInArrow(run, "node bigint, found bigint, members binary").filter("node = found").drop("found"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
     """doc_id, tag (a hash of the text), n_shingles, node, component_id and kept of
     every row of ``docs``."""
@@ -242,25 +262,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
         F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")), "near-nodes")
     posted = materialize(postings(nodes), "near-postings")
 
-    # full sets of the nodes that are posted, from one document each
-    first = nodes.join(posted.select("node").distinct(), "node", "left_semi").select("doc_id", "node")
-
-    def read_sets(batches):
-        for b in batches:
-            sets = shingle_sets(as_bytes(b.column("text")), shingle)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("node"), pa.array([_node(s) for s in sets], pa.int64()),
-                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "found", "members"])
-    sets = (docs.join(first, F.coalesce(docs["doc_id"], F.lit(-1)) == F.coalesce(first["doc_id"], F.lit(-1))).select("node", "text")
-            .mapInArrow(read_sets, "node bigint, found bigint, members binary").filter("node = found").drop("found"))
-    sets = materialize(sets, "near-sets")
-
     hub = hubs_of(posted).withColumn("hub", F.lit(True))
-    first = (posted.select("list", "node").join(hub, ["list", "node"], "left")
-             .select("list", "node", F.col("node").alias("component"), F.coalesce("hub", F.lit(False)).alias("open")))
-    links = materialize(confirmed(pairs(materialize(first, "near-hubs"), nodes), sets, percent), "near-links")
+    near = (posted.select("list", "node").join(hub, ["list", "node"], "left")
+            .select("list", "node", F.col("node").alias("component"), F.coalesce("hub", F.lit(False)).alias("open")))
+    found = materialize(pairs(materialize(near, "near-hubs"), nodes), "near-pairs")
+    sets = materialize(full_sets(docs, nodes, _ends(found), shingle), "near-sets")
+    links = materialize(confirmed(found, sets, percent), "near-links")
     label = materialize(components(links), "near-components")
-    rest = materialize(pairs(materialize(outside_main(posted, label), "near-open"), nodes), "near-left")
+    rest = materialize(pairs(materialize(outside_main(posted, label), "near-open"), nodes), "near-pairs")
+    missing = _ends(rest).join(sets.select("node"), "node", "left_anti")
+    if not missing.isEmpty():
+        sets = sets.unionByName(materialize(full_sets(docs, nodes, missing, shingle), "near-sets"))
     more = materialize(confirmed(rest, sets, percent), "near-links")
     label = materialize(components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "near-components")
 
