@@ -264,7 +264,7 @@ def linear_fusion(parts: list[tuple[float, Column]]) -> Column:
     total = F.lit(0.0)
     for w, c in parts:
         total = total + F.lit(w) * col(c)
-    return F.round(clip01(total), 6)
+    return clip01(total)
 
 
 def alpha_fusion(prob, comm_risk, alpha: float) -> Column:

@@ -95,17 +95,14 @@ def node_index(edges: DataFrame) -> DataFrame:
 
 
 def hetero_graph(edges: DataFrame, card_table: DataFrame, merchant_table: DataFrame) -> DataFrame:
-    """I2 + D5 + C3: index both endpoints; edges with an unmapped endpoint are
-    dropped (inner joins).  Reverse edges are the same rows read dst->src."""
-    idx = node_index(edges)
-    ci = idx.filter(F.col("node_type") == CARD).select(
-        F.col("node").alias("src"), F.col("idx").alias("src_idx"))
-    mi = idx.filter(F.col("node_type") == MERCHANT).select(
-        F.col("node").alias("dst"), F.col("idx").alias("dst_idx"))
-    known_c = card_table.select(C.node_key(CARD, "card_id").alias("src"))
-    known_m = merchant_table.select(C.node_key(MERCHANT, "merchant_id").alias("dst"))
-    return (edges.join(known_c, "src", "left_semi").join(known_m, "dst", "left_semi")
-                 .join(ci, "src").join(mi, "dst"))
+    """I2 + D5 + C3: the node tables give each type a dense 0-based index (in node
+    key order); edges with an endpoint in neither table are dropped (inner joins).
+    Reverse edges are the same rows read dst->src."""
+    def index(table: DataFrame, kind: str, column: str, node: str, name: str) -> DataFrame:
+        keys = table.select(C.node_key(kind, column).alias(node)).distinct()
+        return global_row_number(keys, [node], name).select(node, name)
+    return (edges.join(index(card_table, CARD, "card_id", "src", "src_idx"), "src")
+                 .join(index(merchant_table, MERCHANT, "merchant_id", "dst", "dst_idx"), "dst"))
 
 
 # ---------------------------------------------------------------------------
@@ -199,13 +196,14 @@ def modularity_communities(edges: DataFrame, rounds: int = DEFAULT_LPA_ROUNDS,
     return out.select("node", "node_type", F.col("label").alias("community_id"))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """I4: connected components by alternating large-star / small-star
     rounds (Kiveris et al., 2014): O(log^2 n) rounds instead of the
     O(diameter) of min-label propagation.  Each star step is a grouped
     ``min`` (partial aggregation) joined back to the edge list, then a
-    ``distinct``; the edge list is materialised after every round.  At the
-    fixed point every node hangs off its component's smallest node key."""
+    ``distinct``; the edge list is materialised after every round.  Rounds end
+    when count and hash sum of the edge list no longer change: every node then
+    hangs off its component's smallest node key."""
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
     und = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     cur = _checkpoint(und.filter(F.col("u") != F.col("v")).distinct())
@@ -214,7 +212,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         return pairs.groupBy("u").agg(F.min("v").alias("m")).select(
             "u", F.least("u", "m").alias("m"))
 
-    for _ in range(max_rounds):
+    def mark(pairs):
+        return pairs.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+
+    before = mark(cur)
+    while True:
         # Large star: every larger neighbour of u links to u's smallest neighbour-or-self.
         large = cur.join(star_min(cur), "u").filter(F.col("v") > F.col("u")) \
                    .select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -227,10 +229,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
             sm.select("u", "m")).select("u", F.col("m").alias("v"))
         small = small.unionByName(small.select(F.col("v").alias("u"), F.col("u").alias("v")))
         new = _checkpoint(small.filter(F.col("u") != F.col("v")).distinct())
-        changed = new.exceptAll(cur).limit(1).count() + cur.exceptAll(new).limit(1).count()
-        cur = new
-        if changed == 0:
+        cur, now = new, mark(new)
+        if now == before:
             break
+        before = now
     lab = star_min(cur).select(F.col("u").alias("node"), F.col("m").alias("component"))
     return lab.withColumn("node_type", F.when(F.col("node").startswith(f"{CARD}_"), CARD)
                           .otherwise(MERCHANT))

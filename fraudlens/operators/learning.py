@@ -182,12 +182,12 @@ def assemble(df: DataFrame, names: list[str], out: str = "features") -> DataFram
 # --- J10 tri-signal fusion ------------------------------------------------------------------
 def tri_fusion(df: DataFrame, gnn: str, ae_norm: str, comm: str,
                weights=TRI_WEIGHTS, threshold: float = 0.5) -> DataFrame:
-    """J10 + B29: fused = clip(0.5 gnn + 0.3 ae + 0.2 comm) rounded to 6,
-    prediction at 0.5."""
+    """J10 + B29: fused = clip(0.5 gnn + 0.3 ae + 0.2 comm), prediction at 0.5, score
+    rounded to 6 after that."""
     fused = C.linear_fusion([(weights[0], F.col(gnn)), (weights[1], F.col(ae_norm)),
                              (weights[2], F.col(comm))])
-    return df.withColumn("fused_score", fused).withColumn(
-        "fused_pred", (F.col("fused_score") >= threshold).cast("int"))
+    return (df.withColumn("_fused", fused).withColumn("fused_score", F.round("_fused", 6))
+            .withColumn("fused_pred", (F.col("_fused") >= threshold).cast("int")).drop("_fused"))
 
 
 # --- B31-B33 ---------------------------------------------------------------------------------

@@ -111,8 +111,8 @@ sus AS (
   SELECT * FROM rk WHERE fraud_rate >= 0.1 AND total_transactions >= 10 AND num_cards >= 3)"""
 
 
-def graph_sql(*extra: str) -> str:
-    return S.ctes(TX_SQL, EDGES_SQL, LPA_SQL, *extra)
+def graph_sql(*extra: str, resolution: float = RESOLUTION) -> str:
+    return S.ctes(TX_SQL, EDGES_SQL, LPA_SQL if resolution == RESOLUTION else _louvain_sql(resolution=resolution), *extra)
 
 
 def _tx(spark, sf_dir):
@@ -124,8 +124,8 @@ def _edges(spark, sf_dir):
     return G.bipartite_edges(_tx(spark, sf_dir))
 
 
-def _communities(spark, sf_dir):
-    return G.modularity_communities(_edges(spark, sf_dir), LPA_ROUNDS, RESOLUTION)
+def _communities(spark, sf_dir, resolution: float = RESOLUTION):
+    return G.modularity_communities(_edges(spark, sf_dir), LPA_ROUNDS, resolution)
 
 
 def _stats(spark, sf_dir, comm=None):
@@ -152,14 +152,10 @@ def node_index(spark, sf_dir):
 @register("hetero_graph", S.ctes(TX_SQL, EDGES_SQL, """
 kc AS (SELECT DISTINCT 'card_' || CAST(s_suppkey AS VARCHAR) AS src FROM supplier),
 km AS (SELECT DISTINCT 'merchant_' || merchant_id AS dst FROM tx),
-idx AS (
-  SELECT node, node_type, row_number() OVER (PARTITION BY node_type ORDER BY node) - 1 AS idx
-  FROM (SELECT DISTINCT src AS node, 'card' AS node_type FROM e
-        UNION ALL SELECT DISTINCT dst AS node, 'merchant' AS node_type FROM e))""") + """
+ci AS (SELECT src, row_number() OVER (ORDER BY src) - 1 AS idx FROM kc),
+mi AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1 AS idx FROM km)""") + """
 SELECT e.src, e.dst, e.weight, ci.idx AS src_idx, mi.idx AS dst_idx
-FROM e JOIN idx ci ON ci.node = e.src AND ci.node_type = 'card'
-       JOIN idx mi ON mi.node = e.dst AND mi.node_type = 'merchant'
-WHERE e.src IN (SELECT src FROM kc) AND e.dst IN (SELECT dst FROM km)""")
+FROM e JOIN ci ON ci.src = e.src JOIN mi ON mi.dst = e.dst""")
 def hetero_graph(spark, sf_dir):
     """I2 + D5 + C3: indexed edges restricted to cards known to the identity table."""
     edges = _edges(spark, sf_dir)
@@ -204,7 +200,7 @@ SELECT node, min(comp) AS component,
        CASE WHEN starts_with(node, 'card_') THEN 'card' ELSE 'merchant' END AS node_type
 FROM reach GROUP BY node""")
 def connected_components(spark, sf_dir):
-    """I4: connected components by min-label propagation."""
+    """I4: connected components by large-star / small-star rounds."""
     return G.connected_components(_edges(spark, sf_dir))
 
 
@@ -333,7 +329,8 @@ def community_rank(spark, sf_dir):
 SELECT c.card_id, cc.community_id,
   coalesce(CAST(rk.fraud_rate AS DOUBLE), 0.0) AS comm_0, coalesce(CAST(rk.density AS DOUBLE), 0.0) AS comm_1,
   coalesce(CAST(rk.time_concentration AS DOUBLE), 0.0) AS comm_2, coalesce(CAST(rk.night_ratio AS DOUBLE), 0.0) AS comm_3,
-  coalesce(CAST(rk.num_cards AS DOUBLE), 0.0) AS comm_4, coalesce(CAST(rk.num_merchants AS DOUBLE), 0.0) AS comm_5,
+  coalesce(CAST(rk.num_cards AS DOUBLE) / greatest(rk.num_merchants, 1), 0.0) AS comm_4,
+  coalesce(round(least(ln(1 + rk.total_transactions) / 10.0, 1.0), 9), 0.0) AS comm_5,
   coalesce(rk.fraud_rate, 0.05) AS community_risk
 FROM (SELECT DISTINCT card_id FROM tx) c
 LEFT JOIN comm cc ON cc.node = 'card_' || c.card_id AND cc.node_type = 'card'
@@ -348,8 +345,15 @@ def card_community_features(spark, sf_dir):
         "card_id", "community_id", *[f"comm_{i}" for i in range(6)], "community_risk")
 
 
-@register("edge_community_features", graph_sql(STATS_SQL) + "SELECT ec.transaction_id, " + ", ".join(
-    f"coalesce(CAST(rk.{f} AS DOUBLE), 0.0) AS cf_{i}" for i, f in enumerate(CM.FOURTEEN_FEATURES)) + """
+@register("edge_community_features", graph_sql(STATS_SQL) + """
+SELECT ec.transaction_id,
+  coalesce(CAST(rk.total_transactions AS DOUBLE), 0.0) AS cf_0, coalesce(rk.fraud_rate, 0.0) AS cf_1,
+  coalesce(CAST(rk.num_cards AS DOUBLE), 0.0) AS cf_2, coalesce(CAST(rk.num_merchants AS DOUBLE), 0.0) AS cf_3,
+  coalesce(rk.density, 0.0) AS cf_4,
+  coalesce(CASE WHEN rk.num_merchants > 0 THEN CAST(rk.num_cards AS DOUBLE) / rk.num_merchants ELSE 0.0 END, 0.0) AS cf_5,
+  coalesce(rk.time_concentration, 0.0) AS cf_6, coalesce(rk.night_ratio, 0.0) AS cf_7, coalesce(rk.amt_mean, 0.0) AS cf_8,
+  coalesce(rk.amt_std, 0.0) AS cf_9, coalesce(rk.round_amt_ratio, 0.0) AS cf_10, coalesce(rk.topology_anomaly, 0.0) AS cf_11,
+  coalesce(rk.behavior_anomaly, 0.0) AS cf_12, coalesce(rk.risk_score, 0.0) AS cf_13
 FROM ec LEFT JOIN rk ON rk.community_id = CASE WHEN ec.card_comm = ec.merchant_comm THEN ec.card_comm END""")
 def edge_community_features(spark, sf_dir):
     """D7 + J6: 14 community features per edge when both endpoints share a

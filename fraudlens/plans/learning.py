@@ -141,21 +141,22 @@ t AS (
   JOIN sc ON sc.transaction_id = tx.transaction_id
   JOIN an ON an.card_id = tx.card_id AND an.merchant_id = tx.merchant_id
   LEFT JOIN comm cc ON cc.node = 'card_' || tx.card_id
-  LEFT JOIN sus ON sus.community_id = cc.community_id),
+  LEFT JOIN (SELECT * FROM rk WHERE fraud_rate >= 0.02 AND total_transactions >= 100 AND num_cards >= 10) sus
+         ON sus.community_id = cc.community_id),
 t2 AS (SELECT *, (anomaly - (SELECT min(anomaly) FROM t)) /
-                 ((SELECT max(anomaly) FROM t) - (SELECT min(anomaly) FROM t) + 1e-8) AS ae FROM t)""") + """
+                 ((SELECT max(anomaly) FROM t) - (SELECT min(anomaly) FROM t) + 1e-8) AS ae FROM t)""", resolution=1.5) + """
 SELECT transaction_id, label, round(gnn_prob, 6) AS gnn_prob, round(ae, 6) AS ae_score,
        round(comm_risk, 6) AS comm_risk,
        round(least(greatest(0.0 + 0.5 * gnn_prob + 0.3 * ae + 0.2 * comm_risk, 0.0), 1.0), 6) AS fused_score,
-       CASE WHEN round(least(greatest(0.0 + 0.5 * gnn_prob + 0.3 * ae + 0.2 * comm_risk, 0.0), 1.0), 6) >= 0.5
+       CASE WHEN least(greatest(0.0 + 0.5 * gnn_prob + 0.3 * ae + 0.2 * comm_risk, 0.0), 1.0) >= 0.5
             THEN 1 ELSE 0 END AS fused_pred
 FROM t2""")
 def tri_fusion(spark, sf_dir):
     """J10 + B27 + B29 + D9 + I15: weighted fusion on the test split."""
-    comm = PG._communities(spark, sf_dir)
+    comm = PG._communities(spark, sf_dir, resolution=1.5)  # fixed value of the fusion
     stats = PG._stats(spark, sf_dir, comm)
     tx = PG._tx(spark, sf_dir)
-    cards = CM.card_suspicious_risk(tx.select("card_id").distinct(), comm, stats, **CM.SUSPICIOUS_DEFAULT)
+    cards = CM.card_suspicious_risk(tx.select("card_id").distinct(), comm, stats, **CM.SUSPICIOUS_PIPELINE)
     test = _time_split(spark, sf_dir).filter(F.col("split") == "test").select("transaction_id")
     t = (tx.join(test, "transaction_id")
            .join(scored(spark, sf_dir).select("transaction_id", F.col("score").alias("gnn_prob")), "transaction_id")
@@ -209,7 +210,8 @@ def _hybrid(spark, sf_dir):
     + ", ".join(f"pc2.{c} * pm2.{c} AS emb_prod_{c}" for c in FEATS) + """, tx.amt,
   coalesce(CAST(rk.fraud_rate AS DOUBLE), 0.0) AS comm_0, coalesce(CAST(rk.density AS DOUBLE), 0.0) AS comm_1,
   coalesce(CAST(rk.time_concentration AS DOUBLE), 0.0) AS comm_2, coalesce(CAST(rk.night_ratio AS DOUBLE), 0.0) AS comm_3,
-  coalesce(CAST(rk.num_cards AS DOUBLE), 0.0) AS comm_4, coalesce(CAST(rk.num_merchants AS DOUBLE), 0.0) AS comm_5
+  coalesce(CAST(rk.num_cards AS DOUBLE) / greatest(rk.num_merchants, 1), 0.0) AS comm_4,
+  coalesce(round(least(ln(1 + rk.total_transactions) / 10.0, 1.0), 9), 0.0) AS comm_5
 FROM tx JOIN pc2 ON pc2.card_id = tx.card_id JOIN pm2 ON pm2.merchant_id = tx.merchant_id
 LEFT JOIN comm cc ON cc.node = 'card_' || tx.card_id LEFT JOIN rk ON rk.community_id = cc.community_id""")
 def hybrid_features(spark, sf_dir):

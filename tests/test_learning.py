@@ -1,5 +1,7 @@
 """Scaler, splits, fusion, hand fixture of the reference's community test."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from fraudlens.operators import community as CM
@@ -38,9 +40,9 @@ def fixture_communities(spark):
     # Two communities; card_0, card_1 -> 0, card_3 -> 1, card_2 unassigned.
     comm = spark.createDataFrame([("card_0", "card", "0"), ("card_1", "card", "0"),
                                   ("card_3", "card", "1")], "node string, node_type string, community_id string")
-    stats = spark.createDataFrame([("0", 0.6, 0.4, 0.8, 0.3, 10, 5), ("1", 0.1, 0.2, 0.3, 0.1, 20, 10)],
+    stats = spark.createDataFrame([("0", 0.6, 0.4, 0.8, 0.3, 10, 5, 50), ("1", 0.1, 0.2, 0.3, 0.1, 20, 10, 10 ** 6)],
                                   "community_id string, fraud_rate double, density double, "
-                                  "time_concentration double, night_ratio double, num_cards long, num_merchants long")
+                                  "time_concentration double, night_ratio double, num_cards long, num_merchants long, total_transactions long")
     cards = spark.createDataFrame([(f"{i}",) for i in range(4)], "card_id string")
     return comm, stats, cards
 
@@ -48,11 +50,25 @@ def fixture_communities(spark):
 def test_card_community_features_fixture(spark):
     comm, stats, cards = fixture_communities(spark)
     out = {r.card_id: r for r in CM.card_community_features(cards, comm, stats).collect()}
-    assert [out["0"][f"comm_{i}"] for i in range(6)] == [0.6, 0.4, 0.8, 0.3, 10.0, 5.0]
+    assert [out["0"][f"comm_{i}"] for i in range(6)] == [0.6, 0.4, 0.8, 0.3, 2.0, round(math.log1p(50) / 10, 9)]
+    assert out["3"].comm_5 == 1.0
     assert all(out["2"][f"comm_{i}"] == 0.0 for i in range(6))
     assert (out["0"].community_risk, out["2"].community_risk, out["3"].community_risk) == (0.6, 0.05, 0.1)
 
 
+def test_missing_amount_is_no_round_amount(spark):
+    from fraudlens.operators.encodings import clean
+    df = spark.createDataFrame([(1, 1, 1, 0, None), (2, 1, 1, 0, 5.0)], "transaction_id long, card1 long, addr1 int, dt long, amt double")
+    a, b = clean(df).orderBy("transaction_id").collect()
+    assert (a.amt, a.is_round_amt, a.log_amt, a.amt_decimal) == (0.0, 0, None, None) and b.is_round_amt == 1
+
+
+def test_fusion_predicts_before_rounding(spark):
+    from fraudlens.operators import learning as L
+    r = L.tri_fusion(spark.createDataFrame([(0.9999994, 0.0, 0.0)], "g double, a double, c double"), "g", "a", "c").first()
+    assert (r.fused_score, r.fused_pred) == (0.5, 0)
+
+
 def test_alpha_fusion_boundaries(spark):
     from fraudlens.functions import columns as C
     df = spark.createDataFrame([(0.9, 0.05)], "p double, r double")
