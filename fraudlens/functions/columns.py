@@ -117,11 +117,6 @@ def money(amt) -> Column:
     return col(amt).cast(MONEY)
 
 
-def money_sum(amt) -> Column:
-    """Exact sum of money values, returned as double (order independent)."""
-    return F.sum(money(amt)).cast("double")
-
-
 # --- B13, B16, B21: guards ------------------------------------------------------
 def finite_or_zero(c) -> Column:
     x = col(c).cast("double")
@@ -133,10 +128,6 @@ def safe_div(num, den, default=0.0) -> Column:
     return F.when(col(den) > 0, col(num) / col(den)).otherwise(F.lit(default))
 
 
-def tolerant_number(c) -> Column:
-    return col(c).try_cast("double")
-
-
 # --- B14, B15: ids ----------------------------------------------------------------
 def normalize_id(c) -> Column:
     """Numeric-looking ids become integer text ('12.0' -> '12'), others stay."""

@@ -142,12 +142,12 @@ def pair_features(edges: DataFrame, card_emb: DataFrame, merch_emb: DataFrame, d
     difference and element-wise product as scalar columns; a node without a
     vector takes the mean vector of its type (one aggregate row)."""
     def side(emb, key, prefix):
-        means = emb.agg(*[F.avg(d).alias(d) for d in dims])
+        mean = emb.agg(F.struct(*[F.avg(d).alias(d) for d in dims]).alias("m")).scalar()  # one subquery a side
         cols = []
         for d in dims:
             v = F.col(f"{prefix}_emb_{d}")
             if default_to_mean:
-                v = F.coalesce(v, means.select(d).scalar())
+                v = F.coalesce(v, mean[d])
             cols.append(v.alias(f"{prefix}_emb_{d}"))
         return emb.select(key, *[F.col(d).alias(f"{prefix}_emb_{d}") for d in dims]), cols
     ce, ccols = side(card_emb, "card_id", "card")
@@ -160,13 +160,6 @@ def pair_features(edges: DataFrame, card_emb: DataFrame, merch_emb: DataFrame, d
     return j
 
 
-def hybrid_feature_names(dims: list[str], edge_cols: list[str], extra: list[str]) -> list[str]:
-    """Feature order of the hybrid model: card, merchant, diff, prod, edge, extra."""
-    return ([f"card_emb_{d}" for d in dims] + [f"merchant_emb_{d}" for d in dims]
-            + [f"emb_diff_{d}" for d in dims] + [f"emb_prod_{d}" for d in dims]
-            + list(edge_cols) + list(extra))
-
-
 def assemble(df: DataFrame, names: list[str], out: str = "features") -> DataFrame:
     """Vector of the named columns in order; a missing column counts as
     0 and NaN / inf become 0."""
@@ -191,23 +184,12 @@ def tri_fusion(df: DataFrame, gnn: str, ae_norm: str, comm: str,
 
 
 # --- B31-B33 ---------------------------------------------------------------------------------
-def norm_log_amount(vec: str) -> F.Column:
-    """log1p of the vector's L2 norm (amount proxy)."""
-    return F.log1p(C.vec_norm(vec))
-
-
 def time_in_hours_if_seconds(df: DataFrame, col: str, out: str) -> DataFrame:
     """Divide by 3600 when the column's maximum exceeds 1000."""
     mx = df.select(F.max(col)).scalar()
     return df.withColumn(out, F.when(mx > 1000, F.col(col) / 3600.0).otherwise(F.col(col).cast("double")))
 
 
-def softmax_positive(logit0, logit1) -> F.Column:
-    """Probability of class 1 from two logits (stable form)."""
-    m = F.greatest(C.col(logit0), C.col(logit1))
-    e0, e1 = F.exp(C.col(logit0) - m), F.exp(C.col(logit1) - m)
-    return e1 / (e0 + e1)
-
 
 # --- I9 clustering ---------------------------------------------------------------------------
 def kmeans_clusters(df: DataFrame, cols: list[str], k: int = 8, seed: int = 42,

@@ -3,6 +3,8 @@ J2-J14, B25-B27, B29, B31-B33, C9, D6, D10)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from fraudlens.functions import columns as C
@@ -240,7 +242,7 @@ def _train_and_eval(spark, sf_dir, names, max_iter=30, persist=False):
                                                                F.col("is_fraud").alias("label"))))
     thr = best.select("best_threshold").first()[0]
     if persist:  # J14: save, reload, score with the reloaded model
-        path = ensure_checkpoint_dir(spark).rstrip("/") + "/models/hybrid-gbt"
+        path = ensure_checkpoint_dir(spark).rstrip("/") + f"/models/hybrid-gbt-{uuid.uuid4().hex}"
         L.save_model(model, path, thr, names)
         model, thr, names = L.load_model(path)
     test = L.positive_probability(model, data.filter(F.col("split") == "test"))

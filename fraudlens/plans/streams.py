@@ -5,6 +5,7 @@ from __future__ import annotations
 from fraudlens.plans import graph as PG
 from fraudlens.plans import sql as S
 from fraudlens.plans.registry import TX_SQL, register
+from fraudlens.session import materialize
 from fraudlens.streaming import pipelines as P
 
 CARD_TABLE_SQL = """
@@ -20,11 +21,17 @@ def _cards(spark, sf_dir):
 @register("stream_scoring", S.ctes(TX_SQL, CARD_TABLE_SQL, """
 s AS (
   SELECT tx.transaction_id, tx.card_id, tx.amt, CAST((dt // 3600) % 24 AS INTEGER) AS hour,
-         least(floor(amt / 2) / 100, 1.0) AS raw, coalesce(cards.card_amt_mean, 0.0) AS card_amt_mean
+         least(floor(amt / 2) / 100, 1.0) AS raw, coalesce(cards.card_amt_mean, 0.0) AS card_amt_mean,
+         count(*) OVER (PARTITION BY tx.card_id ORDER BY dt RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) AS tx_1h,
+         count(*) OVER (PARTITION BY tx.card_id ORDER BY dt RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING) AS tx_24h,
+         row_number() OVER (PARTITION BY tx.card_id ORDER BY dt, transaction_id) AS seq,
+         coalesce(dt - lag(dt) OVER (PARTITION BY tx.card_id ORDER BY dt, transaction_id), 999999) AS gap
   FROM tx LEFT JOIN cards ON tx.card_id = cards.card_id),
 g AS (
   SELECT *, (CASE WHEN amt >= 1500 THEN 1 ELSE 0 END) + (CASE WHEN hour >= 0 AND hour < 6 THEN 1 ELSE 0 END)
-            AS signals,
+           + (CASE WHEN tx_1h >= 3 THEN 1 ELSE 0 END) + (CASE WHEN tx_24h >= 15 THEN 1 ELSE 0 END)
+           + (CASE WHEN gap <= 120 THEN 1 ELSE 0 END) + (CASE WHEN seq = 1 THEN 1 ELSE 0 END)
+           + (CASE WHEN tx_1h >= 3 THEN 1 ELSE 0 END) AS signals,
          least(greatest(1.0 / (1.0 + exp(-((raw - 0.5) * 3))), 0.0), 1.0) AS calibrated
   FROM s),
 h AS (
@@ -37,9 +44,10 @@ SELECT transaction_id, card_id, CAST(signals AS INTEGER) AS signals, round(prob,
        round(CASE WHEN card_amt_mean > 0 THEN amt / card_amt_mean ELSE 1.0 END, 9) AS amt_ratio
 FROM h""")
 def stream_scoring(spark, sf_dir):
-    """L1 (+ J13 rules, D10-style default): stateless stream scoring with a
-    stream-static join, equal to the batch formulation."""
-    return P.stream_scoring(spark, sf_dir, _cards(spark, sf_dir))
+    """L1 (+ J13 rules, D10-style default): stateless stream scoring with
+    stream-static joins (cards, velocity), equal to the batch formulation."""
+    velocity = materialize(P.velocity_table(PG._tx(spark, sf_dir)), "velocity")
+    return P.stream_scoring(spark, sf_dir, _cards(spark, sf_dir), velocity)
 
 
 @register("stream_velocity", S.ctes(TX_SQL, """
@@ -55,3 +63,18 @@ GROUP BY card_id, window_start""")
 def stream_velocity(spark, sf_dir):
     """L2: per-card sliding 1 h / 30 min windows with a 1 h watermark."""
     return P.stream_velocity(spark, sf_dir)
+
+
+@register("stream_velocity_24h", S.ctes(TX_SQL, """
+w AS (
+  SELECT card_id, amt, is_fraud, dt, (dt // 43200) * 43200 - k * 43200 AS window_start
+  FROM tx, (SELECT 0 AS k UNION ALL SELECT 1 AS k) ks),
+mx AS (SELECT max(epoch_us(CAST(ts AS TIMESTAMP))) - 1704067200000000 AS max_us FROM events)""") + """
+SELECT card_id, window_start, window_start + 86400 AS window_end, count(*) AS tx_count,
+       CAST(sum(CAST(amt AS DECIMAL(18,3))) AS DOUBLE) AS amt_sum, CAST(sum(is_fraud) AS BIGINT) AS fraud_count
+FROM w
+WHERE (window_start + 86400) * 1000000 <= (SELECT max_us FROM mx) - 3600000000
+GROUP BY card_id, window_start""")
+def stream_velocity_24h(spark, sf_dir):
+    """L2: per-card sliding 24 h / 12 h windows with a 1 h watermark."""
+    return P.stream_velocity(spark, sf_dir, "24 hours", "12 hours")

@@ -8,6 +8,7 @@ convenience used by tests, ``bench.py`` and ``__spark_entry__``.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -56,8 +57,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory of the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when nothing is configured (local tests) a private folder
-    under the system temp dir is created.
+    as is.  Only when nothing is configured and Spark runs in one process (tests)
+    a private folder under the system temp dir is created; on a cluster that
+    would be another folder on each machine, so an unset one is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -69,6 +71,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             configured = spark.conf.get("spark.checkpoint.dir")
         except Exception:  # noqa: BLE001 - unset conf raises on some versions
             configured = None
+    if not configured and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="fraudlens-ckpt-")
     sc.setCheckpointDir(configured)

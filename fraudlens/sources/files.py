@@ -7,18 +7,26 @@ are Spark directories (many part files), readable by Spark or DuckDB.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, p = _file(spark, path)
     return fs.exists(p)
 
 
+def _is_dir(spark: SparkSession, path: str) -> bool:
+    fs, p = _file(spark, path)
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
+
+
 # --- A1 / A5: CSV ------------------------------------------------------------------
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """A1: headered CSV with an explicit schema."""
@@ -44,8 +52,9 @@ def read_feature_table(spark: SparkSession, data_dir: str, name: str,
     """A2: ``{name}.csv`` when present (needs a schema), else ``{name}.parquet``
     (a file or a Spark directory)."""
     base = data_dir.rstrip("/")
-    if csv_schema is not None and _exists(spark, f"{base}/{name}.csv"):
-        return read_csv(spark, f"{base}/{name}.csv", csv_schema)
+    csv = f"{base}/{name}.csv"
+    if csv_schema is not None and finished(spark, csv):
+        return read_csv(spark, csv, csv_schema)
     return spark.read.parquet(f"{base}/{name}.parquet")
 
 
@@ -53,7 +62,7 @@ def pruned_scan(spark: SparkSession, candidates: list[str], wanted: list[str]) -
     """A3: first existing path wins; keep the wanted columns that exist (the
     projection reaches the Parquet reader as its ReadSchema)."""
     for path in candidates:
-        if _exists(spark, path):
+        if finished(spark, path):
             df = spark.read.parquet(path)
             present = set(df.columns)
             return df.select(*[c for c in wanted if c in present])
@@ -133,41 +142,32 @@ METRIC_NAMES = ("auc", "ap", "precision", "recall", "f1")
 
 
 def collect_model_metrics(spark: SparkSession, candidates: dict[str, list[tuple[str, str]]]) -> DataFrame:
-    """Per model, candidate (path, section) pairs in priority order; the
-    first existing file with a complete section wins.  All files are read in
-    one JSON scan; ``input_file_name`` tells which candidate a row is."""
+    """Model, source and the metrics of each model whose file has them all.
+
+    Per model the first candidate (path, section) that exists decides: a model
+    whose file lacks the section or a metric is left out, later candidates are not
+    tried.  Files may be indented (one JSON object over many lines)."""
     metric = T.StructType([T.StructField(m, T.DoubleType()) for m in METRIC_NAMES])
-    sections = sorted({s for c in candidates.values() for _, s in c})
-    schema = T.StructType([T.StructField(s, metric) for s in sections])
-    paths = [p for c in candidates.values() for p, _ in c if _exists(spark, p)]
-    if not paths:
-        return spark.createDataFrame([], "model string, " + ", ".join(f"{m} double" for m in METRIC_NAMES))
-    files = spark.read.schema(schema).json(paths).withColumn("_file", F.input_file_name())
-    rows = [(model, prio, path, section) for model, c in candidates.items()
-            for prio, (path, section) in enumerate(c)]
-    # The candidate list is configuration (a handful of entries): broadcast.
-    cand = spark.createDataFrame(rows, "model string, prio int, path string, section string")
-    def norm(c):  # file:///a, file:/a and /a name the same file
-        return F.regexp_replace(c, "^file:/*", "/")
-    files = files.withColumn("_f", norm(F.col("_file"))).withColumn(
-        "_dir", F.regexp_extract(F.col("_f"), r"^(.*)/[^/]+$", 1))
-    cand = F.broadcast(cand.withColumn("_key", norm(F.col("path"))))
-    # A candidate names the file itself or the Spark output directory
-    # holding it: two equi-joins, no nested-loop join.
-    j = files.join(cand, files["_f"] == cand["_key"]).unionByName(
-        files.join(cand, files["_dir"] == cand["_key"]))
-    picked = j.select("model", "prio", *[
-        F.coalesce(*[F.when(F.col("section") == s, F.col(f"{s}.{m}")) for s in sections]).alias(m)
-        for m in METRIC_NAMES])
-    complete = picked.dropna(subset=list(METRIC_NAMES))
-    w = Window.partitionBy("model").orderBy("prio")
-    return complete.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r", "prio")
+    out = spark.createDataFrame([], "model string, source string, " + ", ".join(f"{m} double" for m in METRIC_NAMES))
+    for model, own in candidates.items():  # configuration: a handful of entries
+        found = next(((p, s) for p, s in own if _exists(spark, p)), None)
+        if found:
+            path, section = found
+            one = spark.read.schema(T.StructType([T.StructField(section, metric)])).option("multiLine", True).json(path)
+            out = out.unionByName(one.select(F.lit(model).alias("model"), F.lit(path).alias("source"),
+                                             *[F.col(f"{section}.{m}").alias(m) for m in METRIC_NAMES]))
+    return out.dropna(subset=list(METRIC_NAMES))
 
 
 # --- A9: stage reuse -------------------------------------------------------------------------------
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a Parquet file, or a directory that its writer has completed, is there."""
+    return _exists(spark, f"{path}/_SUCCESS") or (_exists(spark, path) and not _is_dir(spark, path))
+
+
 def stage(spark: SparkSession, path: str, build) -> DataFrame:
-    """Read the stage's Parquet output if present, else build, write, read."""
-    if not _exists(spark, path):
+    """Read the stage's Parquet output if it is complete, else build, write, read."""
+    if not finished(spark, path):
         write_parquet(build(), path)
     return spark.read.parquet(path)
 

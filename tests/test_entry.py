@@ -19,8 +19,9 @@ def test_every_oracle_has_a_query():
 
 def test_stream_scoring_equals_batch(spark, sf):
     cards = PG._node_features(PG._tx(spark, sf), "card_id").selectExpr("card_id", "amt_mean AS card_amt_mean")
-    stream = P.stream_scoring(spark, sf, cards)
-    batch = P.score_transactions(transactions(spark, sf), cards)
+    velocity = P.velocity_table(transactions(spark, sf)).cache()
+    stream = P.stream_scoring(spark, sf, cards, velocity)
+    batch = P.score_transactions(transactions(spark, sf), cards, velocity)
     assert stream.exceptAll(batch).count() == 0 and batch.exceptAll(stream).count() == 0
 
 

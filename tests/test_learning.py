@@ -101,3 +101,11 @@ def test_borderline_counts(spark):
     assert sum(r.is_copy for r in rows) == 2
     assert sum(1 for r in rows if not r.is_copy and r.weight == 2.0) == 2
     assert all(r.y == 1 for r in rows if r.is_copy)
+
+
+def test_unseen_node_takes_the_mean_vector(spark):
+    edges = spark.createDataFrame([("a", "m"), ("new", "m")], "card_id string, merchant_id string")
+    cards = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "card_id string, x double")
+    merchants = spark.createDataFrame([("m", 5.0)], "merchant_id string, x double")
+    got = {r.card_id: (r.card_emb_x, r.emb_diff_x) for r in L.pair_features(edges, cards, merchants, ["x"]).collect()}
+    assert got == {"a": (1.0, -4.0), "new": (2.0, -3.0)}
