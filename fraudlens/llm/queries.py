@@ -111,3 +111,37 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fraudlens.llm.repeats import without_repeats
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH n AS (SELECT greatest(1, CAST(ceil(count(*) / 1000.0) AS BIGINT)) AS archives FROM pages),
+p AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS body,
+             CASE WHEN page_id % 97 = 5 THEN translate(coalesce(html, ''), 'e', '3') ELSE coalesce(html, '') END AS rotten FROM pages),
+r AS (SELECT page_id, url, body, rotten,
+             'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)
+             || 'WARC-Date: 2024-01-01T00:00:00Z' || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head,
+             chr(13) || chr(10) || chr(13) || chr(10) AS gap FROM p),
+t AS (SELECT page_id, head || strlen(body) || gap || body || gap AS own, head || strlen(rotten) || gap || rotten || gap AS other,
+             CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 8) AS BIGINT) % (SELECT archives FROM n) AS archive FROM r),
+m AS (SELECT page_id, archive, CAST(strlen(own) AS BIGINT) AS length, sha256(own) AS expected_sha256, sha256(other) AS other_sha256 FROM t),
+o AS (SELECT *, CAST(row_number() OVER w - 1 AS BIGINT) AS seq, CAST(sum(length) OVER w - length AS BIGINT) AS "offset" FROM m
+      WINDOW w AS (PARTITION BY archive ORDER BY page_id NULLS FIRST, expected_sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT CASE WHEN page_id % 101 = 7 THEN 'missing' ELSE 'changed' END AS status, page_id, archive, seq, "offset", length, expected_sha256,
+       CASE WHEN page_id % 101 = 7 THEN NULL ELSE other_sha256 END AS found_sha256
+FROM o WHERE page_id % 101 = 7 OR expected_sha256 <> other_sha256
+"""
+
+
+@query("op2_merkle_fixity", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of the archives of all pages against a replica in which some bodies have
+    rotted (page_id % 97 = 5) and some records are lost (page_id % 101 = 7)."""
+    from fraudlens.llm._tables import materialize
+    from fraudlens.llm.fixity import audit, records, warc_record
+    pages = read(spark, sf_dir, "pages")
+    own = materialize(records(pages), "fixity-manifest")
+    body = F.when(F.col("page_id") % 97 == 5, F.translate("html", "e", "3")).otherwise(F.col("html"))
+    rotten = pages.filter(F.col("page_id") % 97 == 5).select("page_id", F.sha2(warc_record(F.col("url"), F.col("html")).cast("binary"), 256).alias("sha256"),
+                                                             F.sha2(warc_record(F.col("url"), body).cast("binary"), 256).alias("new")).distinct()
+    replica = own.filter("page_id IS NULL OR page_id % 101 <> 7").join(rotten, ["page_id", "sha256"], "left")
+    return audit(own, replica.withColumn("sha256", F.coalesce("new", "sha256")).drop("new"))
