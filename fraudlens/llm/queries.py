@@ -98,14 +98,40 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows, rows.filter(F.col("vec_id") % 100 == 0))
 
 
-@query("op3_minhash_join")
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS s
+       FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+l AS (SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS hits FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2)
+      JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * hits >= 80 * (nx.n + ny.n - hits)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN l ON l.x = r.other),
+c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.doc_id = c.component_id AS kept FROM c LEFT JOIN n ON n.doc_id = c.doc_id
+"""
+
+
+@query("op3_minhash_join", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of the documents by the signature-coordinate inverted join."""
     from fraudlens.llm.near_duplicates import near_duplicates
     return near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-@query("op5_suffix_tree_repeats")
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+f AS (SELECT k, min(doc_id) AS d FROM x GROUP BY k),
+h AS (SELECT DISTINCT doc_id, pos FROM (SELECT x.doc_id, unnest(range(i, i + 13)) AS pos FROM x JOIN f ON f.k = x.k WHERE x.doc_id > f.d)),
+p AS (SELECT doc_id, pos, ws[pos] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS pos FROM w)),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept, count(*) AS c FROM p ANTI JOIN h USING (doc_id, pos) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(c, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
+
+
+@query("op5_suffix_tree_repeats", OP5_SQL)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that an earlier document has."""
     from fraudlens.llm.repeats import without_repeats
