@@ -18,15 +18,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each half-round sends a node's neighbours to its least neighbour: a minimum with
     partial sums and one join on the node, so a node with many edges is no group of one
-    task.  The rounds end when the edges (a star a component) no longer change."""
+    task.  The rounds end when the edges are stars: no node has two smaller neighbours,
+    or a smaller and a larger one."""
     now = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
     while True:
-        mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if mark == before:
+        ends = now.select("u", F.lit(1).alias("n")).unionByName(now.select(F.col("v").alias("u"), F.lit(0).alias("n")).distinct())
+        if ends.groupBy("u").agg(F.count("n").alias("all"), F.sum("n").alias("low")).filter("low > 1 OR (low = 1 AND all > 1)").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        before = mark
         # large star: a node's larger neighbours go to the least of it and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

@@ -30,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudlens.llm._graph import components
@@ -40,8 +40,10 @@ from fraudlens.llm._words import Words, as_bytes, blocks, mix
 COORDINATES = 64
 MATCHES = 36
 HUBS = 4
-#: Nodes of one posting list in one block; postings in one task; pairs counted at once.
+#: Nodes of one posting list in one block; of one bucket of full sets; postings in one
+#: task; pairs counted at once.
 BLOCK = 1024
+BUCKET = 8192
 ROWS = 65_536
 PAIRS = 1 << 18
 _SALT = np.random.default_rng(3).integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -117,13 +119,14 @@ def hubs_of(posted: DataFrame) -> DataFrame:
     return most.select("list", F.explode(F.array(*[f"h{i}" for i in range(HUBS)])).alias("node")).filter("node IS NOT NULL")
 
 
-def confirmed(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def confirmed(asked: DataFrame, sets: DataFrame, percent: int, buckets: int) -> DataFrame:
     """The pairs (node, bucket, others: nodes of that bucket) as links (u, v) whose full
-    sets are similar.  A node's set is sent once for each row of ``asked``, the others'
-    sets only to their bucket."""
+    sets are similar.  A node's set is sent once to each bucket where it has pairs, the
+    others' sets only to their own (a node modulo ``buckets``)."""
+    asked = asked.groupBy("node", "bucket").agg(F.flatten(F.collect_list("others")).alias("others"))  # nodes of one bucket
     asked = asked.join(sets.select("node", F.col("members").alias("own")), "node")
     held = sets.select(F.col("node").alias("held"), F.col("members").alias("held_members"),
-                       _bucket(F.col("node"), sets.sparkSession).alias("held_bucket"))
+                       F.pmod("node", F.lit(buckets)).alias("held_bucket"))
 
     def check(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         have = {n: np.frombuffer(m, dtype=np.uint64)
@@ -146,15 +149,7 @@ def confirmed(asked: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return held.groupBy("held_bucket").cogroup(asked.groupBy("bucket")).applyInArrow(check, "u bigint, v bigint")
 
 
-def _buckets(spark) -> int:
-    return 2 * tasks(spark)
-
-
-def _bucket(node: Column, spark) -> Column:
-    return F.pmod(node, F.lit(_buckets(spark)))
-
-
-def pairs(posted: DataFrame, nodes: DataFrame) -> DataFrame:
+def pairs(posted: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
     """node, bucket, others: of each list its open nodes with all nodes of other
     components, where MATCHES coordinates agree, each pair in the first list that both
     have posted.  posted: list, node, component, open."""
@@ -179,8 +174,6 @@ def pairs(posted: DataFrame, nodes: DataFrame) -> DataFrame:
         return df.select(*[F.col(c).alias(prefix + c) for c in names])
     held = rows(mine.withColumn("block", own("blocks")).withColumn("open_block", every("open_blocks")), "")
     asked = rows(mine.filter("open").withColumn("open_block", own("open_blocks")).withColumn("block", every("blocks")), "open_")
-    buckets = _buckets(spark)
-
     def count(theirs: pa.Table, open_: pa.Table) -> pa.Table:
         def read(t: pa.Table):
             t = t.rename_columns(names).combine_chunks()
@@ -253,8 +246,8 @@ def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
-    """doc_id, tag (a hash of the text), n_shingles, node, component_id and kept of
-    every row of ``docs``."""
+    """doc_id, tag (a hash of the text), n_shingles, node, class (a node of the
+    component), component_id and kept of every row of ``docs``."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), text_tag())
     told = materialize(signatures(docs, shingle), "near-signatures")
     some = told.filter("n_shingles > 0")
@@ -262,26 +255,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
         F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")), "near-nodes")
     posted = materialize(postings(nodes), "near-postings")
 
+    buckets = max(8, nodes.count() // BUCKET)
+
     hub = hubs_of(posted).withColumn("hub", F.lit(True))
     near = (posted.select("list", "node").join(hub, ["list", "node"], "left")
             .select("list", "node", F.col("node").alias("component"), F.coalesce("hub", F.lit(False)).alias("open")))
-    found = materialize(pairs(materialize(near, "near-hubs"), nodes), "near-pairs")
+    found = materialize(pairs(materialize(near, "near-hubs"), nodes, buckets), "near-pairs")
     sets = materialize(full_sets(docs, nodes, _ends(found), shingle), "near-sets")
-    links = materialize(confirmed(found, sets, percent), "near-links")
+    links = materialize(confirmed(found, sets, percent, buckets), "near-links")
     label = materialize(components(links), "near-components")
-    rest = materialize(pairs(materialize(outside_main(posted, label), "near-open"), nodes), "near-pairs")
+    rest = materialize(pairs(materialize(outside_main(posted, label), "near-open"), nodes, buckets), "near-pairs")
     missing = _ends(rest).join(sets.select("node"), "node", "left_anti")
     if not missing.isEmpty():
         sets = sets.unionByName(materialize(full_sets(docs, nodes, missing, shingle), "near-sets"))
-    more = materialize(confirmed(rest, sets, percent), "near-links")
+    more = materialize(confirmed(rest, sets, percent, buckets), "near-links")
     label = materialize(components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "near-components")
 
     least = (label.join(nodes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id")))
     named = (nodes.join(label, "node", "left").join(least, "component", "left")
-             .select("node", F.coalesce("component_id", "doc_id").alias("component_id")))
+             .select("node", F.coalesce("component", "node").alias("class"), F.coalesce("component_id", "doc_id").alias("component_id")))
     out = some.join(named, "node").unionByName(
         told.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")), allowMissingColumns=True)
-    return out.select("doc_id", "tag", "n_shingles", "node", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "tag", "n_shingles", "node", "class", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def text_tag() -> Column:
@@ -291,12 +286,10 @@ def text_tag() -> Column:
 def without_near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay: of each class one of its least id (of several
     texts of that id the one of least hash), and every row without words."""
-    told = near_duplicates(docs, shingle, percent).filter("kept")
-    one = told.filter("n_shingles > 0").groupBy(F.col("component_id").alias("keep_id")).agg(F.min("tag").alias("keep_tag"))
-    bare = told.filter("n_shingles = 0").select(F.col("doc_id").alias("keep_id"), F.col("tag").alias("keep_tag")).distinct()
-    names = docs.columns
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("bigint")).withColumn("_tag", text_tag())
-
-    def rows(keep: DataFrame) -> DataFrame:
-        return keyed.join(keep, F.col("_id").eqNullSafe(F.col("keep_id")) & (F.col("_tag") == F.col("keep_tag")), "left_semi")
-    return rows(one).dropDuplicates(["_id", "_tag"]).unionByName(rows(bare)).select(*names)
+    least = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)))  # never null, so that one shuffle serves both steps
+    told = near_duplicates(docs, shingle, percent).filter("kept").withColumn("_id", least)
+    one = told.filter("n_shingles > 0").groupBy("_id", "class").agg(F.min("tag").alias("_tag")).select("_id", "_tag", F.lit(False).alias("_bare"))
+    bare = told.filter("n_shingles = 0").select("_id", F.col("tag").alias("_tag"), F.lit(True).alias("_bare")).distinct()
+    stay = docs.withColumn("_id", least).withColumn("_tag", text_tag()).join(one.unionByName(bare), ["_id", "_tag"])
+    copy = F.row_number().over(Window.partitionBy("_id", "_tag").orderBy("_bare"))
+    return stay.withColumn("_copy", copy).filter("_bare OR _copy = 1").select(*docs.columns)
