@@ -25,7 +25,7 @@ _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[ord("A"):ord("Z") + 1] = _BYTE[ord("a"):ord("z") + 1]
 
 #: Texts are worked on in blocks of about so many bytes, which bounds memory.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 
 _powers: dict[int, np.ndarray] = {}
 

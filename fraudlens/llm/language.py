@@ -149,7 +149,7 @@ def code_lengths(trees: Trees, texts: list[bytes]) -> np.ndarray:
     for lo, hi in blocks(texts):
         own = texts[lo:hi]
         code, first = _codes(own, order)
-        step = max(1 << 16, (1 << 22) // m)  # bounds the rows of log-probabilities held at once
+        step = max(1 << 14, (1 << 20) // m)  # bounds the rows of log-probabilities held at once
         doc = np.repeat(np.arange(lo, hi), [len(t) for t in own])
         for s in range(0, len(code), step):
             p = trees.log_probability(code[s:s + step])
