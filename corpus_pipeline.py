@@ -8,9 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from fraudlens.llm import stages
 from fraudlens.llm._tables import documents, materialize, ship
 
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The stage on five words: texts that differ in scattered words are no copies."""
+    return stages.near_dedup(spark, docs, sf_dir, shingle=5)
+
+
 STAGES = [
     ("language_id", stages.language_id),  # 6: PPM; documents that it rejects go
-    ("near_dedup", stages.near_dedup),  # 3: MinHash join; one document of each class stays
+    ("near_dedup", near_dedup),  # 3: MinHash join on five words; one document of each class stays
     ("substring_dedup", stages.substring_dedup),  # 5: suffix trees; repeated passages go
     ("source_mix", stages.source_mix),  # 8: sources to target weights
     ("tokens", stages.tokens),  # 10: BPE with a segment tree

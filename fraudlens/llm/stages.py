@@ -26,11 +26,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         .withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates stays, that of the least id."""
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, shingle: int = 2) -> DataFrame:
+    """One document of each class of near duplicates, by sets of ``shingle`` words, stays,
+    that of the least id."""
     from fraudlens.llm.near_duplicates import without_near_duplicates
     ship(spark)
-    return without_near_duplicates(docs.select(*COLUMNS))
+    return without_near_duplicates(docs.select(*COLUMNS), shingle=shingle)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
