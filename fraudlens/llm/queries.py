@@ -161,13 +161,14 @@ FROM o WHERE page_id % 101 = 7 OR expected_sha256 <> other_sha256
 @query("op2_merkle_fixity", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit of the archives of all pages against a replica in which some bodies have
-    rotted (page_id % 97 = 5) and some records are lost (page_id % 101 = 7)."""
+    rotted (page_id % 97 = 5) and some records are lost (page_id % 101 = 7), the others
+    being where they were.  Every record of the replica is made and hashed from its own
+    body."""
     from fraudlens.llm._tables import materialize
-    from fraudlens.llm.fixity import audit, records, warc_record
+    from fraudlens.llm.fixity import archive_count, audit, records
     pages = read(spark, sf_dir, "pages")
-    own = materialize(records(pages), "fixity-manifest")
+    archives = archive_count(pages)
+    own = materialize(records(pages, archives=archives), "fixity-manifest")
     body = F.when(F.col("page_id") % 97 == 5, F.translate("html", "e", "3")).otherwise(F.col("html"))
-    rotten = pages.filter(F.col("page_id") % 97 == 5).select("page_id", F.sha2(warc_record(F.col("url"), F.col("html")).cast("binary"), 256).alias("sha256"),
-                                                             F.sha2(warc_record(F.col("url"), body).cast("binary"), 256).alias("new")).distinct()
-    replica = own.filter("page_id IS NULL OR page_id % 101 <> 7").join(rotten, ["page_id", "sha256"], "left")
-    return audit(own, replica.withColumn("sha256", F.coalesce("new", "sha256")).drop("new"))
+    replica = records(pages, archives=archives, found=body).filter("page_id IS NULL OR page_id % 101 <> 7")
+    return audit(own, materialize(replica, "fixity-replica"))

@@ -53,3 +53,38 @@ def test_equal_branches_are_not_descended(spark):
     nodes = M.tree(own, within, levels)
     assert nodes[-1].count() == 1 and levels >= 2
     assert all(x.count() <= y.count() for x, y in zip(nodes[1:], nodes))
+
+
+def test_records_at_wrong_offsets_differ(spark):
+    """Bytes inserted between records: the hashes are the same, the places are not."""
+    own = M.records(pages(spark), archive_records=40).cache()
+    late = (F.col("archive") == 1) & (F.col("seq") >= 5)
+    got = M.audit(own, own.withColumn("offset", F.when(late, F.col("offset") + 3).otherwise(F.col("offset")))).collect()
+    assert {x.status for x in got} == {"moved"}
+    assert sorted((x.archive, x.seq) for x in got) == sorted((x.archive, x.seq) for x in own.filter(late).select("archive", "seq").collect())
+
+
+def test_a_lost_record_does_not_change_the_others(spark):
+    """Manifests made independently of each other, the replica's from fewer pages."""
+    n = M.archive_count(pages(spark), 40)
+    gone = (20, 41, 150)
+    own = M.records(pages(spark), archives=n).cache()
+    found = M.records(pages(spark).filter(~F.coalesce(F.col("page_id").isin(*gone), F.lit(False))), archives=n).cache()
+    got = M.audit(own, found).collect()
+    assert sorted(x.page_id for x in got if x.status == "missing") == list(gone)
+    assert {x.status for x in got} == {"missing", "moved"}
+    at = {(x.page_id, x.seq): x.offset for x in own.collect()}
+    first = {}
+    for x in own.collect():
+        if x.page_id in gone:
+            first[x.archive] = min(first.get(x.archive, x.seq), x.seq)
+    late = {(x.page_id, x.seq) for x in own.collect() if x.seq > first.get(x.archive, 10 ** 9) and x.page_id not in gone}
+    assert {(x.page_id, x.seq) for x in got if x.status == "moved"} == late and all(x.offset == at[x.page_id, x.seq] for x in got)
+
+
+def test_a_rotten_replica_keeps_the_order_it_was_written_in(spark):
+    rows = [(1, "u", f"<p>{i} eel</p>", "") for i in range(8)] + [(2, "u", "eel", "")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, sha256 string")
+    own = M.records(df).cache()
+    got = M.audit(own, M.records(df, found=F.translate("html", "e", "3"))).collect()
+    assert len(got) == 9 and {x.status for x in got} == {"changed"} and [x.seq for x in sorted(got, key=lambda x: x.seq)] == list(range(9))
