@@ -1,7 +1,11 @@
 """Document fingerprints by order MinHash, in DataFrame functions only.
 
-A text's units are its words (runs other than white space), or, if those have more
-than ``UNIT`` characters on average, pieces of words of at most so many.  Its k-mers are runs of ``k`` units (all units, if fewer).
+A text's units are its words (runs other than white space); a word of more than
+``UNIT`` characters, as unspaced scripts have, gives its characters instead, word by
+word.  A k-mer starts at each unit: at a word a run of ``k`` units, at such a
+character a run of ``UNIT`` units, so that k-mers overlap and an inserted character
+changes only those it lies in.  At the text's end they are as long as what is left
+(a text of fewer than ``k`` units has one for all of them).
 Equal k-mers are told apart by their occurrence number, so a text is a set of
 (k-mer, occurrence) pairs, each with a hash and a place in the text.  The hash's
 leading bits deal the pairs to ``2^BITS`` coordinates; of each coordinate the
@@ -57,11 +61,20 @@ def _number(x: Column) -> Column:
     return F.shiftrightunsigned(x, 64 - BITS)
 
 
+def _units(words: Column) -> Column:
+    """The words, of long ones the characters, each after a blank (no word has one)."""
+    long = F.exists(words, lambda w: F.length(w) > UNIT)
+    return F.when(~long, words).otherwise(F.flatten(F.transform(words, lambda w: F.when(F.length(w) <= UNIT, F.array(w)).otherwise(
+        F.transform(F.split(w, ""), lambda c: F.concat(F.lit(" "), c))))))
+
+
 def _kmers(u: Column, k: int) -> Column:
     """Hash and place of each k-mer of the units, in one bigint each."""
+    def run(w: Column, i: Column, n: int) -> Column:
+        return F.xxhash64(w, *[F.get(u, i + j) for j in range(1, n)])
     heads = F.slice(u, 1, F.greatest(F.size(u) - (k - 1), F.lit(1)))
-    return F.transform(heads, lambda w, i: _hash(F.xxhash64(w, *[F.get(u, i + j) for j in range(1, k)]))
-                       .bitwiseOR(_place(i.cast("bigint"))))
+    return F.transform(heads, lambda w, i: _hash(F.when(F.startswith(w, F.lit(" ")), run(w, i, UNIT)).otherwise(run(w, i, k)))
+                       .bitwiseOR(_place(F.least(i, F.lit(_PLACE)).cast("bigint"))))
 
 
 def _numbered(s: Column) -> Column:
@@ -94,10 +107,7 @@ def order_minhash(text: Column, k: int = 3, keep: int = 2) -> Column:
     """The coordinates of a text as array<bigint>; the lower BITS bits of each are its number."""
     text = F.coalesce(text, F.lit(""))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    # words of more than UNIT characters on average: cut the long ones
-    units = _let(words, lambda w: F.when(F.length(text) <= UNIT * F.size(w), w).otherwise(
-        F.regexp_extract_all(text, F.lit(rf"([^\x20\x09-\x0D]{{1,{UNIT}}})"), F.lit(1))))
-    return _let(units, lambda u: F.when(F.size(u) == 0, F.array().cast("array<bigint>")).otherwise(
+    return _let(_let(words, _units), lambda u: F.when(F.size(u) == 0, F.array().cast("array<bigint>")).otherwise(
         _let(F.sort_array(_kmers(u, k)), lambda s: _let(_numbered(s), lambda v: _coordinates(v, keep)))))
 
 

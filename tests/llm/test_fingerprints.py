@@ -1,6 +1,7 @@
 """Order MinHash against a direct computation of its properties."""
 
 import hashlib
+import random
 
 from corpora import corpus, frame, words
 
@@ -67,3 +68,15 @@ def test_order_and_occurrences_matter(spark):
     share = [len(set(a) & set(x)) / 64 for x in (a, b, c)]
     assert share[1] < 0.9 and share[2] < 0.9
     assert hashlib.sha256(str(a).encode()) != hashlib.sha256(str(b).encode())
+
+
+def test_an_inserted_character_in_an_unspaced_text(spark):
+    r = random.Random(2)
+    for letters in (range(0x61, 0x7B), range(0x4E00, 0x4F00), range(0x1F300, 0x1F400)):
+        t, other = ("".join(chr(r.choice(letters)) for _ in range(3000)) for _ in range(2))
+        spaced = "".join(f"{w} " for w in words(300, 8, 10_000))
+        texts = [t, t[:20] + "x" + t[20:], other, t[:1500] + spaced[:1500]]
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, text string").select("i", P.order_minhash(F.col("text")).alias("p")).cache()
+        like = dict(df.alias("a").join(df.filter("i = 0").alias("b")).select("a.i", P.likeness(F.col("a.p"), F.col("b.p"))).collect())
+        assert like[0] == 1.0 and like[1] > 0.8 and like[2] < 0.1
+        assert like[3] > 0.05  # half of the text is the same: 0.46 of all k-mers, squared for two a coordinate
