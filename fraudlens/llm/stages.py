@@ -15,15 +15,16 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text some learned language explains stay, with the predicted
-    language as lang; those without text, without a letter or without a language
-    that is likelier than all others together go."""
+    """Documents with a letter in their text stay, with the predicted language as lang,
+    however close the languages are to each other on a short text; if no language can
+    be learnt, with the lang they have.  Those without text or without a letter go."""
     from fraudlens.llm.language import UNKNOWN, identify, learn
     ship(spark)
     trees = learn(docs.select("doc_id", "text", "lang"))
+    if trees is None:
+        return docs.select(*COLUMNS).filter(F.col("text").rlike(r"\p{L}"))
     told = identify(docs.select(*COLUMNS), trees)
-    return told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= 0.5)) \
-        .withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+    return told.filter(F.col("lang_pred") != UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str, shingle: int = 2) -> DataFrame:

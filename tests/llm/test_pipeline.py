@@ -47,6 +47,19 @@ def test_stages_have_the_columns_and_the_work(spark, tables):
     assert abs(sum(len(WORD.findall(r.text)) for r in mixed.collect()) - 1.5 * words) <= 4
 
 
+def test_language_id_keeps_short_clean_texts(spark, tables):
+    """A word that six languages share alike has a posterior of a sixth in each."""
+    rows = [(i, "hotel taxi radio", f"l{i % 6}", "s") for i in range(60)] + [(100, "hotel", None, "s"), (101, "123", None, "s")]
+    got = stages.language_id(spark, frame(spark, rows), tables).collect()
+    assert {r.doc_id for r in got} == {*range(60), 100} and all(r.lang for r in got)
+
+
+def test_language_id_without_any_lang(spark, tables):
+    rows = [(1, "a clean text", None, "s"), (2, "naïve 漢字", None, "s"), (3, "12 !", None, "s"), (4, None, None, "s"), (5, "", None, "s")]
+    got = stages.language_id(spark, frame(spark, rows), tables)
+    assert got.columns == stages.COLUMNS and {(r.doc_id, r.lang) for r in got.collect()} == {(1, None), (2, None)}
+
+
 def test_near_dedup_works_on_five_words(spark, tables):
     """Texts of 100 words that differ in 5 scattered ones (2-word sets: 0.817, five-word
     sets: 0.587) are no copies; those that differ in the last word are."""
