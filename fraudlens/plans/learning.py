@@ -12,6 +12,8 @@ from fraudlens.operators import community as CM
 from fraudlens.operators import graph as G
 from fraudlens.operators import learning as L
 from fraudlens.operators import metrics as M
+from fraudlens.operators import nodes as N
+from fraudlens.operators.enrich import enriched_transactions
 from fraudlens.plans import graph as PG
 from fraudlens.plans import sql as S
 from fraudlens.plans.metrics import SCORE_SQL, scored
@@ -222,9 +224,23 @@ def hybrid_features(spark, sf_dir):
     return h.select("transaction_id", *HYBRID_COLS, "amt", *[f"comm_{i}" for i in range(6)])
 
 
-def _train_and_eval(spark, sf_dir, names, max_iter=30, persist=False):
-    h = _hybrid(spark, sf_dir).join(_time_split(spark, sf_dir).select("transaction_id", "split"),
-                                    "transaction_id")
+#: Upper bound of the boosting rounds.  They end at the first round that lowers the
+#: validation loss no more (Spark ML has no patience, the reference waits 100 rounds).
+MAX_ROUNDS = 2000
+
+
+def _edge_features(spark, sf_dir):
+    """transaction_id and every numeric column of the edge table that is a feature."""
+    e = N.edge_table(enriched_transactions(spark, sf_dir))
+    kinds = ("double", "float", "bigint", "int")
+    return e.select("transaction_id", *[c for c, kind in e.dtypes if kind in kinds and c not in N.EDGE_NON_FEATURES])
+
+
+def _train_and_eval(spark, sf_dir, names, max_iter=MAX_ROUNDS, persist=False):
+    edges = _edge_features(spark, sf_dir)
+    names = [n for n in names if n != "amt"] + [c for c in edges.columns if c != "transaction_id"]
+    h = (_hybrid(spark, sf_dir).drop("amt", "dt").join(edges, "transaction_id")
+         .join(_time_split(spark, sf_dir).select("transaction_id", "split"), "transaction_id"))
     # Lineage cut: the scaler's scalar subqueries and every boosting pass
     # read this table instead of re-planning the feature pipeline.
     h = materialize(h.select("transaction_id", "split", "is_fraud", *names), "hybrid-features")
@@ -236,7 +252,7 @@ def _train_and_eval(spark, sf_dir, names, max_iter=30, persist=False):
     data = materialize(L.assemble(h, names).select("transaction_id", "split", "is_fraud", "w", "is_val",
                                                    "features"), "hybrid-vectors")
     model = L.train_gbt(data.filter(F.col("split") != "test"), label="is_fraud", weight="w",
-                        validation_col="is_val", maxIter=max_iter)
+                        validation_col="is_val", maxIter=max_iter, validationTol=0.0)
     sweep_src = L.positive_probability(model, data.filter(F.col("split") == "val"))
     best = M.best_threshold(M.threshold_sweep(sweep_src.select(F.col("prob").alias("score"),
                                                                F.col("is_fraud").alias("label"))))
@@ -248,7 +264,7 @@ def _train_and_eval(spark, sf_dir, names, max_iter=30, persist=False):
     test = L.positive_probability(model, data.filter(F.col("split") == "test"))
     ev = M.evaluate(test.select(F.col("prob").alias("score"), F.col("is_fraud").alias("label")),
                     threshold=thr)
-    return model, ev.withColumn("threshold", F.lit(thr))
+    return model, ev.withColumn("threshold", F.lit(thr)), names
 
 
 HYBRID_NAMES = HYBRID_COLS + ["amt"] + [f"comm_{i}" for i in range(6)]
@@ -264,8 +280,8 @@ def gbt_model(spark, sf_dir):
 @register("gbt_importances")
 def gbt_importances(spark, sf_dir):
     """J12 + G6: top-30 feature importances normalised by the maximum (rows-only)."""
-    model, _ = _train_and_eval(spark, sf_dir, HYBRID_NAMES)
-    return L.importances(model, HYBRID_NAMES, 30)
+    model, _, names = _train_and_eval(spark, sf_dir, HYBRID_NAMES)
+    return L.importances(model, names, 30)
 
 
 @register("gbt_comparator")
@@ -275,7 +291,7 @@ def gbt_comparator(spark, sf_dir):
     variants = {"embeddings": HYBRID_COLS + ["amt"], "embeddings+community": HYBRID_NAMES}
     out = None
     for name, cols in variants.items():
-        ev = _train_and_eval(spark, sf_dir, cols, max_iter=20)[1].withColumn("variant", F.lit(name))
+        ev = _train_and_eval(spark, sf_dir, cols)[1].withColumn("variant", F.lit(name))
         out = ev if out is None else out.unionByName(ev)
     return out
 

@@ -109,3 +109,15 @@ def test_unseen_node_takes_the_mean_vector(spark):
     merchants = spark.createDataFrame([("m", 5.0)], "merchant_id string, x double")
     got = {r.card_id: (r.card_emb_x, r.emb_diff_x) for r in L.pair_features(edges, cards, merchants, ["x"]).collect()}
     assert got == {"a": (1.0, -4.0), "new": (2.0, -3.0)}
+
+
+def test_the_models_get_every_numeric_edge_column(spark):
+    from fraudlens.operators import nodes as N
+    from fraudlens.plans import learning as PL
+    import __spark_entry__ as entry
+    entry._prepare(spark)
+    got = PL._edge_features(spark, entry.SMOKE_DIR)
+    assert got.count() == spark.read.parquet(f"{entry.SMOKE_DIR}/events.parquet").count()
+    want = set(N.EDGE_BASE_COLUMNS) - set(N.EDGE_NON_FEATURES)
+    assert set(got.columns) == want | {"transaction_id"} and len(want) > 30
+    assert PL.MAX_ROUNDS == 2000
