@@ -1,15 +1,14 @@
-"""Removal of passages that repeat across documents, by prefix-partitioned suffix trees.
-
-Every word position starts a suffix.  A passage of ``window`` words repeats where a
-node of the suffix tree at least so deep has suffixes of several documents below it,
-so trees are needed down to that depth only, and such a node is named by the hash of
-its ``window`` words.  The suffixes are split by prefixes of variable length: by
-their first word where few suffixes have it, by all ``window`` words where many do,
-as counts over the whole corpus tell.  The prefixes are packed to groups of about
-``GROUP`` suffixes, which fit a task's memory, and each group's tree is made by
-sorting.  Of a deep node's suffixes, those in documents with a larger id than its
-least one are marked; runs of marked suffixes, with the words they cover, are the
-maximal repeats that leave.
+"""Removal of passages that repeat across documents, by hashes of word windows.
+
+Every run of ``window`` words is a window, named by a 64-bit hash of its words (56 bits
+within a group).  It stands for a node of that depth of the corpus' suffix tree, which
+is not built: no suffixes are sorted, and words are not compared, so windows of equal
+hash are taken as equal.  Windows are split by their first word where few have it, by
+all ``window`` words where many do, as counts over the whole corpus tell, and packed to
+groups of about ``GROUP`` windows, which fit a task's memory; a group is sorted by
+hash.  Of the windows of one hash, those in documents with a larger id than the least
+one are marked; runs of marked windows, with the words they cover, leave.  Below, a
+suffix is such a window, a node is a hash.
 
 Suffixes travel in compressed blocks: a map task sorts those of some megabytes of
 text, settles what repeats there (only suffixes of the least document of a node go
