@@ -315,16 +315,18 @@ def kmeans_nodes(spark, sf_dir):
                              id_cols=("node", "node_type"))
 
 
-EMB_DIM = 64
-
-
 @register("kmeans_embeddings")
 def kmeans_embeddings(spark, sf_dir):
-    """Seeded k-means (k = 10) on the scaled 64-d embeddings table (rows-only)."""
-    emb = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
-    cols = [f"e{i}" for i in range(EMB_DIM)]
-    wide = emb.select("vec_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(cols)])
-    return L.kmeans_clusters(wide, cols, k=10, seed=42, id_cols=("vec_id",))
+    """Seeded k-means (k = 10) on the scaled embeddings table, every component of
+    its longest vector (one that a vector lacks counts as 0) (rows-only)."""
+    return _cluster_embeddings(read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]))
+
+
+def _cluster_embeddings(emb, k=10):
+    dim = emb.agg(F.max(F.size("embedding"))).first()[0] or 1
+    cols = [f"e{i}" for i in range(max(dim, 1))]
+    wide = emb.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(cols)])
+    return L.kmeans_clusters(wide, cols, k=k, seed=42, id_cols=("vec_id",))
 
 
 @register("embedding_norms", """

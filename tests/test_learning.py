@@ -121,3 +121,15 @@ def test_the_models_get_every_numeric_edge_column(spark):
     want = set(N.EDGE_BASE_COLUMNS) - set(N.EDGE_NON_FEATURES)
     assert set(got.columns) == want | {"transaction_id"} and len(want) > 30
     assert PL.MAX_ROUNDS == 2000
+
+
+def test_kmeans_reads_whole_vectors(spark):
+    """Vectors of 70 that differ in the last component only, and a shorter one."""
+    from fraudlens.plans import learning as PL
+    import __spark_entry__ as entry
+    entry._prepare(spark)
+    rows = [(i, [1.0] * 69 + [float(i % 2)]) for i in range(40)] + [(40, [1.0] * 69), (41, None)]
+    df = spark.createDataFrame(rows[:41], "vec_id bigint, embedding array<float>")
+    got = dict(PL._cluster_embeddings(df, k=2).select("vec_id", "cluster").collect())
+    assert len({got[i] for i in range(0, 41, 2)}) == 1 and len({got[i] for i in range(1, 40, 2)}) == 1 and got[0] != got[1]
+    assert PL._cluster_embeddings(spark.createDataFrame(rows, df.schema), k=2).count() == 42
