@@ -198,3 +198,17 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle(docs).select(
         "doc_id", F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
         F.sha2(restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+
+@query("op12_digest_tree_merge", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts by the tree-merge of sorted digest runs; the largest id stays."""
+    from fraudlens.llm.exact_duplicates import exact_duplicates
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
