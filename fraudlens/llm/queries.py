@@ -212,3 +212,31 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fraudlens.llm.exact_duplicates import exact_duplicates
     docs = documents(spark, sf_dir).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, 'und') AS lang,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^.,;:!?\x0A-\x0D]+') AS pieces FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM p GROUP BY lang),
+f AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS f
+      FROM (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS m) WHERE len(ws) >= m) GROUP BY ALL HAVING count(*) >= 100),
+w AS (SELECT *, string_split(phrase, ' ') AS ws FROM f),
+o AS (SELECT lang, phrase, max(f) AS over_f FROM (SELECT lang, f, array_to_string(ws[i:i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, f, ws, k, unnest(range(1, m - k + 2)) AS i FROM w, (SELECT unnest(range(2, 5)) AS k) WHERE m > k)) GROUP BY ALL),
+c AS (SELECT w.lang, w.phrase, w.m, w.ws, w.f AS a FROM w LEFT JOIN o ON o.lang = w.lang AND o.phrase = w.phrase WHERE w.m > 1 AND (over_f IS NULL OR 100 * over_f < 100 * w.f)),
+s AS (SELECT c.lang, c.phrase, c.k, c.a, x.f AS l, y.f AS r, t.n, 1000 * CAST(c.a AS HUGEINT) * t.n // (CAST(x.f AS HUGEINT) * y.f) AS score
+      FROM (SELECT *, array_to_string(ws[1:k], ' ') AS x, array_to_string(ws[k + 1:m], ' ') AS y FROM (SELECT *, unnest(range(1, m)) AS k FROM c)) c
+      JOIN f x ON x.lang = c.lang AND x.phrase = c.x JOIN f y ON y.lang = c.lang AND y.phrase = c.y JOIN t ON t.lang = c.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM b QUALIFY rank <= 2000
+"""
+
+
+@query("op11_vertical_collocations", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrase collocations of each language, from depth-truncated suffix subtrees."""
+    from fraudlens.llm.collocations import top_collocations
+    return top_collocations(documents(spark, sf_dir)).select(
+        "lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score")
