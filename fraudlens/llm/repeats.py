@@ -1,9 +1,9 @@
 """Removal of passages that repeat across documents, by hashes of word windows.
 
-Every run of ``window`` words is a window, named by a 64-bit hash of its words (56 bits
-within a group).  It stands for a node of that depth of the corpus' suffix tree, which
-is not built: no suffixes are sorted, and words are not compared, so windows of equal
-hash are taken as equal.  Windows are split by their first word where few have it, by
+Every run of ``window`` words is a window, named by two hashes of its words, of 64 and of
+32 bits.  It stands for a node of that depth of the corpus' suffix tree, which is not
+built: no suffixes are sorted, and words are not compared, so windows of equal names are
+taken as equal; two of a group's 2 million fall together by a chance of 3e-17.  Windows are split by their first word where few have it, by
 all ``window`` words where many do, as counts over the whole corpus tell, and packed to
 groups of about ``GROUP`` windows, which fit a task's memory; a group is sorted by
 hash.  Of the windows of one hash, those in documents with a larger id than the least
@@ -41,8 +41,6 @@ GROUP = 2_000_000
 SETTLE = 8 << 20
 BUCKET = 8 << 20
 _PREFIXES = 4096
-#: Bits of a node's name within its group.
-_BITS = 56
 _LAST = (1 << 63) - 1
 
 
@@ -67,13 +65,27 @@ def _positions(data: bytes) -> np.ndarray:
 
 
 def _suffixes(texts: list[bytes], window: int):
-    """(text number, word position, prefix bucket, node name) of every deep suffix."""
+    """(text number, word position, prefix bucket, node name, its second name) of every
+    deep suffix."""
     for lo, hi in blocks(texts):
         w = Words(texts[lo:hi])
         at, name = w.windows(window)
         doc = np.searchsorted(w.first, at, side="right") - 1
         bucket = (mix(w.hash[at]) >> np.uint64(52)).astype(np.int64)
-        yield doc + lo, at - w.first[doc], bucket, name
+        second = (w.windows(window, 1)[1] >> np.uint64(32)).astype(np.uint32)
+        yield doc + lo, at - w.first[doc], bucket, name, second
+
+
+def _by_name(name: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by both names (rows of equal ones as they are) and where a node begins."""
+    order = np.argsort(name, kind="stable")
+    a, b = name[order], second[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        order = np.lexsort((second, name))
+        a, b = name[order], second[order]
+    start = np.ones(len(a), dtype=bool)
+    start[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return order, start
 
 
 class Groups:
@@ -108,7 +120,7 @@ def _prefix_counts(docs: DataFrame, window: int) -> tuple[np.ndarray, int]:
         for b in batches:
             texts = as_bytes(b.column("text"))
             n[-1] += sum(map(len, texts))
-            for _, _, bucket, _ in _suffixes(texts, window):
+            for _, _, bucket, _, _ in _suffixes(texts, window):
                 n[:-1] += np.bincount(bucket, minlength=_PREFIXES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(_PREFIXES + 1, dtype=np.int32)), pa.array(n)], names=["bucket", "n"])
     out = np.zeros(_PREFIXES + 1, dtype=np.int64)  # that many rows reach the driver
@@ -117,8 +129,8 @@ def _prefix_counts(docs: DataFrame, window: int) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
-_BLOCK = "grp int, docs binary, n_docs int, names binary, places binary, n int, id bigint, tag int, marks binary"
-_BLOCK_TYPES = [pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+_BLOCK = "grp int, docs binary, n_docs int, names binary, seconds binary, places binary, n int, id bigint, tag int, marks binary"
+_BLOCK_TYPES = [pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
 
 
 def _settle(texts: list[bytes], ids: np.ndarray, tags: np.ndarray, groups: Groups, window: int) -> list[tuple]:
@@ -128,15 +140,13 @@ def _settle(texts: list[bytes], ids: np.ndarray, tags: np.ndarray, groups: Group
     parts = list(_suffixes(texts, window))
     if not parts:
         return []
-    doc, pos, bucket, name = (np.concatenate(x) for x in zip(*parts))
+    doc, pos, bucket, name, second = (np.concatenate(x) for x in zip(*parts))
     del parts
     if not len(doc):
         return []
     doc, pos, group = doc.astype(np.uint32), pos.astype(np.uint32), groups.of(bucket, name)
-    order = np.argsort(name, kind="stable")  # of a node, texts in order of their ids
-    name, doc, pos, group = name[order], doc[order], pos[order], group[order]
-    start = np.ones(len(name), dtype=bool)
-    start[1:] = name[1:] != name[:-1]
+    order, start = _by_name(name, second)  # of a node, texts in order of their ids
+    name, second, doc, pos, group = name[order], second[order], doc[order], pos[order], group[order]
     least = ids[doc[start]][np.cumsum(start) - 1]
     known = ids[doc] > least
     rows = []
@@ -147,16 +157,17 @@ def _settle(texts: list[bytes], ids: np.ndarray, tags: np.ndarray, groups: Group
         cut = np.flatnonzero(np.diff(d, prepend=-1 if len(d) == 0 else int(d[0]) - 1))
         for lo, hi in zip(cut, np.append(cut[1:], len(d))):
             k = int(d[lo])
-            rows.append((k % groups.n, None, None, None, None, None, int(ids[k]), int(tags[k]), _steps(p[lo:hi].astype(np.int64))))
-    name, doc, pos, group = (x[~known] for x in (name, doc, pos, group))
+            rows.append((k % groups.n, None, None, None, None, None, None, int(ids[k]), int(tags[k]), _steps(p[lo:hi].astype(np.int64))))
+    name, second, doc, pos, group = (x[~known] for x in (name, second, doc, pos, group))
     order = np.argsort(group, kind="stable")
-    name, doc, pos, group = name[order] >> np.uint64(64 - _BITS), doc[order], pos[order], group[order]
+    name, second, doc, pos, group = name[order], second[order], doc[order], pos[order], group[order]
     cut = np.flatnonzero(np.diff(group, prepend=-1))
     for lo, hi in zip(cut, np.append(cut[1:], len(group))):
         own, number = np.unique(doc[lo:hi], return_inverse=True)
         head = np.concatenate((np.diff(ids[own], prepend=0).view(np.uint64), tags[own].astype(np.int64).view(np.uint64)))
         place = np.concatenate((number.astype(np.uint32), pos[lo:hi]))
-        rows.append((int(group[lo]), _pack(head), len(own), _pack(np.diff(name[lo:hi], prepend=np.uint64(0))), _pack(place), int(hi - lo), None, None, None))
+        rows.append((int(group[lo]), _pack(head), len(own), _pack(np.diff(name[lo:hi], prepend=np.uint64(0))),
+                     _pack(second[lo:hi]), _pack(place), int(hi - lo), None, None, None))
     return rows
 
 
@@ -164,7 +175,7 @@ def _marks(t: pa.Table, buckets: int) -> pa.Table:
     """Of a group the marks, a row for each bucket of documents: (id, tag, position) of
     the suffixes that repeat in a document of a smaller id."""
     ids, tags, at = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.uint32)]
-    names, doc_id, doc_tag, pos = [], [], [], []
+    names, seconds, doc_id, doc_tag, pos = [], [], [], [], []
     for r in t.to_pylist():
         if r["marks"] is not None:
             p = _positions(r["marks"])
@@ -176,15 +187,15 @@ def _marks(t: pa.Table, buckets: int) -> pa.Table:
         head = _unpack(r["docs"], 2 * k, np.uint64).view(np.int64)
         place = _unpack(r["places"], 2 * n, np.uint32)
         names.append(np.cumsum(_unpack(r["names"], n, np.uint64), dtype=np.uint64))
+        seconds.append(_unpack(r["seconds"], n, np.uint32))
         doc_id.append(np.cumsum(head[:k])[place[:n]])
         doc_tag.append(head[k:][place[:n]].astype(np.int32))
         pos.append(place[n:])
     if names:
-        name, own, tag, places = (np.concatenate(x) for x in (names, doc_id, doc_tag, pos))
-        order = np.argsort(name, kind="stable")
-        name = name[order]
-        start = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
-        least = np.repeat(np.minimum.reduceat(own[order], start), np.diff(np.append(start, len(name))))
+        own, tag, places = (np.concatenate(x) for x in (doc_id, doc_tag, pos))
+        order, begins = _by_name(np.concatenate(names), np.concatenate(seconds))
+        start = np.flatnonzero(begins)
+        least = np.repeat(np.minimum.reduceat(own[order], start), np.diff(np.append(start, len(own))))
         hit = order[own[order] > least]
         ids.append(own[hit])
         tags.append(tag[hit])

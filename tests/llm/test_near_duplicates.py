@@ -68,3 +68,10 @@ def test_dedup_keeps_one_row_a_class(spark):
     assert sorted(r.doc_id for r in some if r.doc_id is not None) == sorted([*want, 81])
     assert sorted(r.text for r in some if r.doc_id is None) == ["a text without an id", "another text without an id"]
     assert len(got) - len(some) == sum(1 for r in rows if not plain_set(r[1]))
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    """One-word texts of 1,024 letters in the Thue-Morse pattern and its complement."""
+    def text(a, b):
+        return "".join(b if bin(i).count("1") % 2 else a for i in range(1024))
+    agree(spark, [(i, t, "en", "s") for i, t in enumerate((text("a", "b"), text("b", "a"), text("c", "d"), text("d", "c"), text("A", "B")))])

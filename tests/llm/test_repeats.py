@@ -55,3 +55,31 @@ def test_groups_cover_every_bucket():
     hot = np.bincount(g.of(np.full(100_000, 3), names), minlength=g.n)
     assert g.n == 6 and (hot > 0).sum() >= g.n - 1
     assert len(set(g.of(np.full(100, 5), names[:100]).tolist())) == 1
+
+
+def thue_morse(a, b, letters=1024):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(letters))
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    """Words of 1,024 letters in the Thue-Morse pattern and its complement."""
+    tail = words(12, 4)
+    rows = [(1, " ".join([thue_morse("a", "b"), *tail]), "en", "s"), (2, " ".join([thue_morse("b", "a"), *tail]), "en", "s"),
+            (3, " ".join([thue_morse("a", "b", 64), *tail]), "en", "s"), (4, " ".join([thue_morse("b", "a", 64), *tail]), "en", "s"),
+            (5, " ".join([thue_morse("x", "yy")] * 20), "en", "s"), (6, " ".join([thue_morse("yy", "x")] * 20), "en", "s")]
+    agree(spark, rows)
+
+
+def test_names_follow_words_and_their_order():
+    import numpy as np
+
+    from fraudlens.llm._words import Words
+    for k in (1, 2, 3, 5, 8, 13):
+        for family in (0, 1):
+            one, two = (Words([t.encode()]).windows(k, family) for t in (" ".join(words(300, 5, 9)), "q  " + "\n".join(words(300, 5, 9))))
+            own = [tuple(words(300, 5, 9)[i:i + k]) for i in range(301 - k)]
+            assert (one[1] == two[1][1:]).all()
+            assert len(set(own)) == len(np.unique(one[1])) and len(set(zip(own, one[1].tolist()))) == len(set(own))
+    long = ["x" * n for n in range(1, 200)] + ["x" * n + "y" for n in range(200)]
+    assert len(np.unique(Words([" ".join(long).encode()]).hash)) == len(set(long))
+    assert (Words([b"ABC Def"], lower=True).hash == Words([b"abc def"]).hash).all()
