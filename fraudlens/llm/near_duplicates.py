@@ -17,8 +17,10 @@ Large groups of near copies would meet as all pairs.  So each list has a few hub
 (the nodes with the longest lists in all, the most central ones), and first only the
 pairs with a hub are counted and confirmed: a few for each posting.  Nodes that this
 links are one component, and then only pairs between different components of a list
-are left.  Long lists are worked on in blocks of nodes; pairs travel as one list of
-partners a node and bucket, and none is dropped.
+are left.  Long lists are worked on in blocks of nodes; a pair is counted once and
+travels in one list of partners a node and bucket, and none is dropped.  Texts that are
+alike by somewhat less than ``percent`` stay apart, so a large group of them is counted
+pair by pair; those lists hold eight bytes a pair that the signatures cannot rule out.
 
 Defined cases: a null or empty text, or one without words, has no shingle and is a
 component of its own; a text with fewer words has the whole sequence as its shingle;
@@ -40,10 +42,10 @@ from fraudlens.llm._words import Words, as_bytes, blocks, mix
 COORDINATES = 64
 MATCHES = 36
 HUBS = 4
-#: Nodes of one posting list in one block; of one bucket of full sets; postings in one
-#: task; pairs counted at once.
+#: Nodes of one posting list in one block; bytes of one bucket of full sets; postings in
+#: one task; pairs counted at once.
 BLOCK = 1024
-BUCKET = 8192
+BUCKET_BYTES = 32 << 20
 ROWS = 65_536
 PAIRS = 1 << 18
 _SALT = np.random.default_rng(3).integers(1, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -123,7 +125,8 @@ def confirmed(asked: DataFrame, sets: DataFrame, percent: int, buckets: int) ->
     """The pairs (node, bucket, others: nodes of that bucket) as links (u, v) whose full
     sets are similar.  A node's set is sent once to each bucket where it has pairs, the
     others' sets only to their own (a node modulo ``buckets``)."""
-    asked = asked.groupBy("node", "bucket").agg(F.flatten(F.collect_list("others")).alias("others"))  # nodes of one bucket
+    asked = (asked.filter("node IS NOT NULL").groupBy("node", "bucket")
+             .agg(F.flatten(F.collect_list("others")).alias("others")))  # nodes of one bucket
     asked = asked.join(sets.select("node", F.col("members").alias("own")), "node")
     held = sets.select(F.col("node").alias("held"), F.col("members").alias("held_members"),
                        F.pmod("node", F.lit(buckets)).alias("held_bucket"))
@@ -149,15 +152,17 @@ def confirmed(asked: DataFrame, sets: DataFrame, percent: int, buckets: int) ->
     return held.groupBy("held_bucket").cogroup(asked.groupBy("bucket")).applyInArrow(check, "u bigint, v bigint")
 
 
-def pairs(posted: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
+def pairs(posted: DataFrame, nodes: DataFrame, buckets: int, percent: int) -> DataFrame:
     """node, bucket, others: of each list its open nodes with all nodes of other
-    components, where MATCHES coordinates agree, each pair in the first list that both
-    have posted.  posted: list, node, component, open."""
+    components, where MATCHES coordinates agree and the sizes of the sets allow
+    ``percent``, each pair once: in the first list that both have posted, and of two
+    open nodes from the larger one.  Rows without a node list in others the nodes that
+    a task's pairs have, each once.  posted: list, node, component, open."""
     spark = posted.sparkSession
     sizes = posted.groupBy("list").agg(F.count(F.lit(1)).alias("all"), F.count_if("open").alias("some")).filter("all > 1 AND some > 0")
     lists = sizes.select("list", F.ceil(F.col("all") / BLOCK).cast("bigint").alias("blocks"), F.ceil(F.col("some") / BLOCK).cast("bigint").alias("open_blocks"))
     prefix = posted.groupBy("node").agg(F.collect_list("list").alias("prefix"))  # at most COORDINATES
-    mine = posted.join(prefix.join(nodes.select("node", "sketch"), "node"), "node").join(lists, "list")
+    mine = posted.join(prefix.join(nodes.select("node", "sketch", "n_shingles"), "node"), "node").join(lists, "list")
 
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
@@ -167,7 +172,7 @@ def pairs(posted: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
     tasks_ = max(tasks(spark), -(-posted.count() // ROWS))
     # a cell: a block of a list's nodes against a block of its open nodes; a task has many cells
     cell = F.xxhash64("list", "block", "open_block")
-    names = ["task", "cell", "coordinate", "node", "component", "prefix", "sketch"]
+    names = ["task", "cell", "coordinate", "node", "component", "n_shingles", "open", "prefix", "sketch"]
 
     def rows(df: DataFrame, prefix: str) -> DataFrame:
         df = df.withColumn("cell", cell).withColumn("task", F.pmod("cell", F.lit(tasks_))).withColumn("coordinate", F.shiftright("list", 32).cast("int"))
@@ -183,11 +188,11 @@ def pairs(posted: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
             value, has = np.zeros((t.num_rows, COORDINATES), dtype=np.uint32), np.zeros((t.num_rows, COORDINATES), dtype=bool)
             value[row, flat >> 32], has[row, flat >> 32] = (flat & 0xFFFFFFFF).astype(np.uint32), True
             sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
-            return *(np.asarray(t.column(c).combine_chunks()) for c in ("cell", "coordinate", "node", "component")), value, has, sketch
+            return *(np.asarray(t.column(c).combine_chunks()) for c in ("cell", "coordinate", "node", "component", "n_shingles", "open")), value, has, sketch
         u, v = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         if theirs.num_rows and open_.num_rows:
-            c1, _, n1, k1, v1, h1, s1 = read(theirs)
-            c2, at2, n2, k2, v2, h2, s2 = read(open_)
+            c1, _, n1, k1, m1, o1, v1, h1, s1 = read(theirs)
+            c2, at2, n2, k2, m2, _, v2, h2, s2 = read(open_)
             order = np.argsort(c1, kind="stable")
             lo, hi = np.searchsorted(c1[order], c2), np.searchsorted(c1[order], c2, side="right")
             upto = np.cumsum(hi - lo)
@@ -197,7 +202,8 @@ def pairs(posted: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
                 n = (hi - lo)[begin:end]
                 i = np.repeat(np.arange(begin, end), n)
                 j = order[np.arange(n.sum()) + np.repeat(lo[begin:end] - (np.cumsum(n) - n), n)]
-                i, j = (x[k1[j] != k2[i]] for x in (i, j))
+                apart = (k1[j] != k2[i]) & (~o1[j] | (n1[j] < n2[i])) & (100 * np.minimum(m1[j], m2[i]) >= percent * np.maximum(m1[j], m2[i]))
+                i, j = i[apart], j[apart]
                 enough = (s1[j] == s2[i]).sum(axis=1) >= MATCHES
                 i, j = i[enough], j[enough]
                 both = (v1[j] == v2[i]) & h1[j] & h2[i]
@@ -210,8 +216,12 @@ def pairs(posted: DataFrame, nodes: DataFrame, buckets: int) -> DataFrame:
         order = np.lexsort((to, a))
         a, b, to = a[order], b[order], to[order]
         cut = np.flatnonzero(np.concatenate((np.ones(min(len(a), 1), dtype=bool), (a[1:] != a[:-1]) | (to[1:] != to[:-1]))))
-        others = pa.ListArray.from_arrays(pa.array(np.append(cut, len(a)).astype(np.int32)), pa.array(b))
-        return pa.table({"node": a[cut], "bucket": to[cut], "others": others})
+        ends = np.unique(np.concatenate((a, b)))
+        alone = int(len(ends) > 0)  # the last row: the ends of all pairs
+        bound = np.concatenate((cut, [len(a)], [len(a) + len(ends)] * alone)).astype(np.int32)
+        others = pa.ListArray.from_arrays(pa.array(bound), pa.array(np.concatenate((b, ends))))
+        return pa.table({"node": pa.array([*a[cut].tolist(), *[None] * alone], pa.int64()), "bucket": pa.array([*to[cut].tolist(), *[None] * alone], pa.int64()),
+                         "others": others})
     return held.groupBy("task").cogroup(asked.groupBy("open_task")).applyInArrow(count, "node bigint, bucket bigint, others array<bigint>")
 
 
@@ -227,7 +237,7 @@ def outside_main(posted: DataFrame, label: DataFrame) -> DataFrame:
 
 def _ends(found: DataFrame) -> DataFrame:
     """The nodes of pairs."""
-    return found.select("node").unionByName(found.select(F.explode("others").alias("node"))).distinct()
+    return found.filter("node IS NULL").select(F.explode("others").alias("node")).distinct()
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -252,19 +262,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
     told = materialize(signatures(docs, shingle), "near-signatures")
     some = told.filter("n_shingles > 0")
     nodes = materialize(some.groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("sketch").alias("sketch")), "near-nodes")
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
+        F.first("sketch").alias("sketch")), "near-nodes")
     posted = materialize(postings(nodes), "near-postings")
 
-    buckets = max(8, nodes.count() // BUCKET)
+    buckets = max(8, 8 * (nodes.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET_BYTES)
 
     hub = hubs_of(posted).withColumn("hub", F.lit(True))
     near = (posted.select("list", "node").join(hub, ["list", "node"], "left")
             .select("list", "node", F.col("node").alias("component"), F.coalesce("hub", F.lit(False)).alias("open")))
-    found = materialize(pairs(materialize(near, "near-hubs"), nodes, buckets), "near-pairs")
+    found = materialize(pairs(materialize(near, "near-hubs"), nodes, buckets, percent), "near-pairs")
     sets = materialize(full_sets(docs, nodes, _ends(found), shingle), "near-sets")
     links = materialize(confirmed(found, sets, percent, buckets), "near-links")
     label = materialize(components(links), "near-components")
-    rest = materialize(pairs(materialize(outside_main(posted, label), "near-open"), nodes, buckets), "near-pairs")
+    rest = materialize(pairs(materialize(outside_main(posted, label), "near-open"), nodes, buckets, percent), "near-pairs")
     missing = _ends(rest).join(sets.select("node"), "node", "left_anti")
     if not missing.isEmpty():
         sets = sets.unionByName(materialize(full_sets(docs, nodes, missing, shingle), "near-sets"))

@@ -75,3 +75,40 @@ def test_words_that_weak_hashes_confuse(spark):
     def text(a, b):
         return "".join(b if bin(i).count("1") % 2 else a for i in range(1024))
     agree(spark, [(i, t, "en", "s") for i, t in enumerate((text("a", "b"), text("b", "a"), text("c", "d"), text("d", "c"), text("A", "B")))])
+
+
+def alike(n, differ, seed=2):
+    """n texts of 100 words, each with ``differ`` words of its own at random places."""
+    r, base, rows = random.Random(seed), words(100, seed, 9000), []
+    for i in range(n):
+        own = list(base)
+        for k in r.sample(range(100), differ):
+            own[k] = f"z{i}_{k}"
+        rows.append((i, " ".join(own), "en", "s"))
+    return rows
+
+
+def test_rows_between_stages_do_not_grow_with_the_pairs_of_a_group(spark, monkeypatch):
+    """Groups near 0.71 that stay apart, of growing size: rows of pairs and of their ends."""
+    seen = []
+    own = N.pairs
+
+    def watch(*args):
+        found = N.materialize(own(*args), "near-pairs")
+        seen.append((found.count(), N._ends(found).count()))
+        return found
+    monkeypatch.setattr(N, "pairs", watch)
+    got = {}
+    for n in (60, 240):
+        seen.clear()
+        agree(spark, alike(n, 4))
+        got[n] = [sum(x) for x in zip(*seen)]
+    assert got[240][0] <= 6 * got[60][0] and got[240][1] <= 6 * max(got[60][1], 60)  # 16 times the pairs
+
+
+def test_pairs_of_two_open_nodes_are_counted_once(spark):
+    docs = frame(spark, alike(40, 1)).select("doc_id", "text", N.text_tag())
+    nodes = N.signatures(docs, 2).filter("n_shingles > 0").cache()
+    near = N.postings(nodes).withColumn("component", N.F.col("node")).withColumn("open", N.F.lit(True))
+    found = [(r.node, o) for r in N.pairs(near, nodes, 8, 80).filter("node IS NOT NULL").collect() for o in r.others]
+    assert len(found) == len(set(found)) == len({frozenset(p) for p in found}) > 40 * 39 // 4
