@@ -226,6 +226,103 @@ def train_gbt(train_val: DataFrame, label: str = "label", weight: str | None = N
     return est.fit(train_val)
 
 
+#: Scores are counted in so many bins when prefixes of a model are compared.
+STAGE_BINS = 8192
+
+
+def _tree_arrays(model) -> list[tuple]:
+    """(feature or -1, threshold, left, right, value times weight) of each tree's nodes, as
+    arrays; a model's nodes are bounded by its rounds and depth.  Splits are numeric."""
+    import uuid
+
+    import numpy as np
+    from pyspark.sql import SparkSession
+
+    from fraudlens.session import ensure_checkpoint_dir
+    spark = SparkSession.getActiveSession()
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/stages-{uuid.uuid4().hex}"
+    model.write().save(path)
+    split = "nodeData.split"
+    rows = spark.read.parquet(f"{path}/data").select(
+        "treeID", "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild", f"{split}.featureIndex",
+        F.get(f"{split}.leftCategoriesOrThreshold", F.lit(0)).alias("threshold")).collect()
+    out = []
+    for t, weight in enumerate(model.treeWeights):
+        own = sorted((r for r in rows if r.treeID == t), key=lambda r: r.id)
+        inner = [r.leftChild >= 0 for r in own]
+        out.append((np.array([r.featureIndex if i else -1 for r, i in zip(own, inner)]), np.array([r.threshold if i else 0.0 for r, i in zip(own, inner)]),
+                    np.array([r.leftChild if i else k for k, (r, i) in enumerate(zip(own, inner))]),
+                    np.array([r.rightChild if i else k for k, (r, i) in enumerate(zip(own, inner))]), weight * np.array([r.prediction for r in own])))
+    return out
+
+
+def staged_average_precision(model, data: DataFrame, label: str) -> DataFrame:
+    """(rounds, ap) of every prefix of the model's trees on ``data`` (features, label), in
+    one pass: each task walks the trees over its rows and counts labels by prefix and
+    score bin, the counts are summed, and a prefix' AP comes from its bins (scores of one
+    of the STAGE_BINS bins count as ties)."""
+    from pyspark.ml.functions import vector_to_array
+    trees, bins = _tree_arrays(model), STAGE_BINS
+    depth = model.getMaxDepth()
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.asarray(b.column("x").flatten()).reshape(b.num_rows, -1)
+            y = np.asarray(b.column("y")) > 0
+            margin, rows = np.zeros(len(x)), np.arange(len(x))
+            key = np.zeros((len(trees), len(x)), dtype=np.int64)
+            for t, (feature, threshold, left, right, value) in enumerate(trees):
+                at = np.zeros(len(x), dtype=np.int64)
+                for _ in range(depth):
+                    at = np.where(x[rows, feature[at]] <= threshold[at], left[at], right[at])
+                margin += value[at]
+                key[t] = t * bins + np.minimum((bins / (1 + np.exp(-2 * margin))).astype(np.int64), bins - 1)
+            own, at = np.unique(key, return_inverse=True)
+            at = at.reshape(key.shape)
+            n, pos = np.bincount(at.ravel(), minlength=len(own)), np.bincount(at[:, y].ravel(), minlength=len(own))
+            yield pa.RecordBatch.from_arrays([pa.array((own // bins + 1).astype(np.int32)), pa.array((own % bins).astype(np.int32)), pa.array(pos), pa.array(n)],
+                                             names=["rounds", "bin", "pos", "n"])
+    told = data.select(vector_to_array("features").alias("x"), F.col(label).cast("int").alias("y")).mapInArrow(count, "rounds int, bin int, pos bigint, n bigint")
+    told = told.groupBy("rounds", "bin").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))
+    w = Window.partitionBy("rounds").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)  # at most STAGE_BINS rows
+    told = told.withColumn("precision", F.sum("pos").over(w) / F.sum("n").over(w))
+    return told.groupBy("rounds").agg(F.when(F.sum("pos") > 0, F.sum(F.col("pos") * F.col("precision")) / F.sum("pos")).otherwise(0.0).alias("ap"))
+
+
+def first_rounds(model, rounds: int):
+    """The model of the first ``rounds`` trees."""
+    from pyspark.ml.classification import GBTClassificationModel
+    from pyspark.sql import SparkSession
+    sc = SparkSession.getActiveSession().sparkContext
+    jvm = sc._jvm
+    kind = jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    trees, weights = sc._gateway.new_array(kind, rounds), sc._gateway.new_array(sc._gateway.jvm.double, rounds)
+    for i in range(rounds):
+        trees[i], weights[i] = model.trees[i]._java_obj, float(model.treeWeights[i])
+    short = GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(model.uid, trees, weights, model.numFeatures, 2))
+    return model._copyValues(short)
+
+
+def train_gbt_by_ap(train: DataFrame, val: DataFrame, label: str, weight: str | None = None, patience: int = 100,
+                    start: int | None = None, max_rounds: int = 2000, **params):
+    """(model, rounds trained, validation AP) of boosting that stops once ``patience``
+    rounds brought no better average precision on ``val``, cut at the best round (of equal
+    ones the first).  Spark ML cannot go on with a model, so one that has not waited long
+    enough is trained again with twice the rounds; its first trees are the same."""
+    rounds = min(max_rounds, start or 2 * patience)
+    while True:
+        model = train_gbt(train, label, weight, maxIter=rounds, **params)
+        told = [(r.ap, -r.rounds) for r in staged_average_precision(model, val, label).collect()]  # a row a round
+        ap, best = max(told, default=(0.0, -model.getNumTrees))
+        if rounds >= max_rounds or rounds + best >= patience or model.getNumTrees < rounds:
+            return first_rounds(model, -best), rounds, ap
+        rounds = min(max_rounds, 2 * rounds)
+
+
 def positive_probability(model, df: DataFrame, out: str = "prob") -> DataFrame:
     from pyspark.ml.functions import vector_to_array
     return model.transform(df).withColumn(out, vector_to_array("probability")[1])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from fraudlens.plans import graph as PG
 from fraudlens.plans import sql as S
 from fraudlens.plans.registry import TX_SQL, register
-from fraudlens.session import materialize
 from fraudlens.streaming import pipelines as P
 
 CARD_TABLE_SQL = """
@@ -20,7 +19,7 @@ def _cards(spark, sf_dir):
 
 @register("stream_scoring", S.ctes(TX_SQL, CARD_TABLE_SQL, """
 s AS (
-  SELECT tx.transaction_id, tx.card_id, tx.amt, CAST((dt // 3600) % 24 AS INTEGER) AS hour,
+  SELECT tx.transaction_id, tx.card_id, tx.amt, tx.dt, CAST((dt // 3600) % 24 AS INTEGER) AS hour,
          least(floor(amt / 2) / 100, 1.0) AS raw, coalesce(cards.card_amt_mean, 0.0) AS card_amt_mean,
          count(*) OVER (PARTITION BY tx.card_id ORDER BY dt RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) AS tx_1h,
          count(*) OVER (PARTITION BY tx.card_id ORDER BY dt RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING) AS tx_24h,
@@ -42,12 +41,27 @@ h AS (
 SELECT transaction_id, card_id, CAST(signals AS INTEGER) AS signals, round(prob, 9) AS prob,
        prob >= 0.26 AS is_fraud_pred,
        round(CASE WHEN card_amt_mean > 0 THEN amt / card_amt_mean ELSE 1.0 END, 9) AS amt_ratio
-FROM h""")
+FROM h WHERE dt <= (SELECT max(dt) FROM tx) - 3600""")
 def stream_scoring(spark, sf_dir):
-    """L1 (+ J13 rules, D10-style default): stateless stream scoring with
-    stream-static joins (cards, velocity), equal to the batch formulation."""
-    velocity = materialize(P.velocity_table(PG._tx(spark, sf_dir)), "velocity")
-    return P.stream_scoring(spark, sf_dir, _cards(spark, sf_dir), velocity)
+    """L1 (+ J13 rules, D10-style default): stream scoring with a stream-static join (cards)
+    and the history kept in keyed state; the rows a watermark of 1 h has passed."""
+    return P.stream_scoring(spark, P.transaction_stream(spark, sf_dir), _cards(spark, sf_dir))
+
+
+@register("stream_history", S.ctes(TX_SQL) + """
+SELECT transaction_id, card_id, tx_1h, tx_24h, seq, gap, CAST(seq = 1 AS INTEGER) AS new_card, CAST(tx_1h >= 3 AS INTEGER) AS burst FROM (
+  SELECT transaction_id, card_id, dt,
+         count(*) OVER (PARTITION BY card_id ORDER BY dt RANGE BETWEEN 3600 PRECEDING AND 1 PRECEDING) AS tx_1h,
+         count(*) OVER (PARTITION BY card_id ORDER BY dt RANGE BETWEEN 86400 PRECEDING AND 1 PRECEDING) AS tx_24h,
+         row_number() OVER (PARTITION BY card_id ORDER BY dt, transaction_id) AS seq,
+         coalesce(dt - lag(dt) OVER (PARTITION BY card_id ORDER BY dt, transaction_id), 999999) AS gap
+  FROM tx WHERE dt IS NOT NULL)
+WHERE dt <= (SELECT max(dt) FROM tx) - 3600""")
+def stream_history(spark, sf_dir):
+    """L1 / L2: exact trailing counts, sequence and gap of every transaction, from keyed
+    stream state with event-time timers (watermark of 1 h)."""
+    told = P.stream_history(spark, P.transaction_stream(spark, sf_dir))
+    return told.select("transaction_id", "card_id", "tx_1h", "tx_24h", "seq", "gap", "new_card", "burst")
 
 
 @register("stream_velocity", S.ctes(TX_SQL, """
