@@ -22,6 +22,8 @@ PRECISION = 9
 SPLIT_TRAIN, SPLIT_VAL = 0.7, 0.15
 TRI_WEIGHTS = (0.5, 0.3, 0.2)       # fixed values: GNN, auto-encoder, community
 MINMAX_EPS = 1e-8
+#: The lighter comparator (J4): about 31 leaves, larger steps, coarser bins.
+GBT_LIGHT = dict(maxDepth=5, stepSize=0.05, maxBins=64)
 GBT_DEFAULTS = dict(maxDepth=6, stepSize=0.03, subsamplingRate=0.7, featureSubsetStrategy="0.7",
                     minInstancesPerNode=50, maxBins=255, maxIter=40, seed=42)
 

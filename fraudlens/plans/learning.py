@@ -13,6 +13,7 @@ from fraudlens.operators import graph as G
 from fraudlens.operators import learning as L
 from fraudlens.operators import metrics as M
 from fraudlens.operators import nodes as N
+from fraudlens.operators import scoring as SC
 from fraudlens.operators.enrich import enriched_transactions
 from fraudlens.plans import graph as PG
 from fraudlens.plans import sql as S
@@ -20,6 +21,7 @@ from fraudlens.plans.metrics import SCORE_SQL, scored
 from fraudlens.plans.registry import TX_SQL, register
 from fraudlens.session import ensure_checkpoint_dir, materialize
 from fraudlens.sources.tables import read_table, transactions
+from fraudlens.streaming import pipelines as P
 
 FEATS = PG.NODE_FEATS
 
@@ -197,12 +199,23 @@ HYBRID_COLS = ([f"card_emb_{c}" for c in FEATS] + [f"merchant_emb_{c}" for c in
 
 
 def _hybrid(spark, sf_dir):
-    comm = PG._communities(spark, sf_dir)
-    stats = PG._stats(spark, sf_dir, comm)
     tx = PG._tx(spark, sf_dir)
     ce, me = _embeddings(spark, sf_dir)
-    pf = L.pair_features(tx, ce, me, FEATS)
-    cards = CM.card_community_features(tx.select("card_id").distinct(), comm, stats)
+    cards = _card_communities(spark, sf_dir)
+    return _with_communities(L.pair_features(tx, ce, me, FEATS), cards)
+
+
+def _card_communities(spark, sf_dir, train=None):
+    """Community features of every card; with ``train`` (transaction_id) the statistics
+    are those of these rows alone, so no label of another split enters them."""
+    comm = PG._communities(spark, sf_dir)
+    tx = PG._tx(spark, sf_dir)
+    own = tx if train is None else tx.join(train, "transaction_id", "left_semi")
+    stats = CM.with_risk(CM.community_stats(own.withColumn("hour", C.hour_of_day("dt")), comm, "hour"))
+    return CM.card_community_features(tx.select("card_id").distinct(), comm, stats)
+
+
+def _with_communities(pf, cards):
     return pf.join(cards.drop("community_id", "community_risk"), "card_id", "left") \
              .fillna(0.0, [f"comm_{i}" for i in range(6)])
 
@@ -224,9 +237,11 @@ def hybrid_features(spark, sf_dir):
     return h.select("transaction_id", *HYBRID_COLS, "amt", *[f"comm_{i}" for i in range(6)])
 
 
-#: Upper bound of the boosting rounds.  They end at the first round that lowers the
-#: validation loss no more (Spark ML has no patience, the reference waits 100 rounds).
+#: Upper bound of the boosting rounds, and how many without a better validation AP end
+#: them.  The reference waits 100 rounds; a round of 255 bins and about 90 features takes
+#: Spark ML some seconds however few the rows, so the queries wait less.
 MAX_ROUNDS = 2000
+PATIENCE = 8
 
 
 def _edge_features(spark, sf_dir):
@@ -236,66 +251,110 @@ def _edge_features(spark, sf_dir):
     return e.select("transaction_id", *[c for c, kind in e.dtypes if kind in kinds and c not in N.EDGE_NON_FEATURES])
 
 
-def _train_and_eval(spark, sf_dir, names, max_iter=MAX_ROUNDS, persist=False):
+def _hybrid_table(spark, sf_dir):
+    """(transaction_id, split, is_fraud and every feature of a transaction, the names of the
+    edge features): written once, for all models that are made of it."""
     edges = _edge_features(spark, sf_dir)
-    names = [n for n in names if n != "amt"] + [c for c in edges.columns if c != "transaction_id"]
-    h = (_hybrid(spark, sf_dir).drop("amt", "dt").join(edges, "transaction_id")
-         .join(_time_split(spark, sf_dir).select("transaction_id", "split"), "transaction_id"))
-    # Lineage cut: the scaler's scalar subqueries and every boosting pass
-    # read this table instead of re-planning the feature pipeline.
-    h = materialize(h.select("transaction_id", "split", "is_fraud", *names), "hybrid-features")
+    split = materialize(_time_split(spark, sf_dir).select("transaction_id", "split"), "hybrid-split")
+    ce, me = (materialize(t, "hybrid-vectors") for t in _embeddings(spark, sf_dir))
+    cards = materialize(_card_communities(spark, sf_dir, split.filter("split = 'train'")), "hybrid-communities")
+    h = _with_communities(L.pair_features(PG._tx(spark, sf_dir), ce, me, FEATS), cards)
+    own = [c for c in edges.columns if c != "transaction_id"]
+    h = h.drop("amt", "dt").join(edges, "transaction_id").join(split, "transaction_id")
+    h = materialize(h.select("transaction_id", "split", "is_fraud", *HYBRID_COLS, *[f"comm_{i}" for i in range(6)], *own), "hybrid-features")
+    return h, own, (ce, me, cards)
+
+
+def _fit(h, names, patience=PATIENCE, **params):
+    """Scaler fitted on train only (E10), class weight, boosting that ends on validation AP,
+    threshold from the validation sweep: (model, scaled vectors, threshold, rounds, AP)."""
     train = h.filter(F.col("split") == "train")
-    h = L.standard_scale(h, names, fit_on=train)  # E10 fitted on train only
     cw = M.class_weight(train.select(F.col("is_fraud").alias("label"))).select("class_weight").scalar()
-    h = h.withColumn("w", F.when(F.col("is_fraud") == 1, F.coalesce(cw, F.lit(1.0))).otherwise(1.0)) \
-         .withColumn("is_val", F.col("split") == "val")
-    data = materialize(L.assemble(h, names).select("transaction_id", "split", "is_fraud", "w", "is_val",
-                                                   "features"), "hybrid-vectors")
-    model = L.train_gbt(data.filter(F.col("split") != "test"), label="is_fraud", weight="w",
-                        validation_col="is_val", maxIter=max_iter, validationTol=0.0)
-    sweep_src = L.positive_probability(model, data.filter(F.col("split") == "val"))
-    best = M.best_threshold(M.threshold_sweep(sweep_src.select(F.col("prob").alias("score"),
-                                                               F.col("is_fraud").alias("label"))))
-    thr = best.select("best_threshold").first()[0]
-    if persist:  # J14: save, reload, score with the reloaded model
-        path = ensure_checkpoint_dir(spark).rstrip("/") + f"/models/hybrid-gbt-{uuid.uuid4().hex}"
-        L.save_model(model, path, thr, names)
-        model, thr, names = L.load_model(path)
+    scaled = L.standard_scale(h, names, fit_on=train).withColumn("w", F.when(F.col("is_fraud") == 1, F.coalesce(cw, F.lit(1.0))).otherwise(1.0))
+    data = materialize(L.assemble(scaled, names).select("transaction_id", "split", "is_fraud", "w", "features"), "hybrid-vectors")
+    val = data.filter(F.col("split") == "val")
+    model, rounds, ap = L.train_gbt_by_ap(data.filter(F.col("split") == "train"), val, "is_fraud", "w", patience=patience, max_rounds=MAX_ROUNDS, **params)
+    sweep = L.positive_probability(model, val).select(F.col("prob").alias("score"), F.col("is_fraud").alias("label"))
+    threshold = M.best_threshold(M.threshold_sweep(sweep)).select("best_threshold").first()[0]
+    return model, data, threshold, rounds, ap
+
+
+def _test_metrics(model, data, threshold, ap):
+    """Test metrics of a model, with its threshold, its number of trees and the validation
+    AP that chose it."""
     test = L.positive_probability(model, data.filter(F.col("split") == "test"))
-    ev = M.evaluate(test.select(F.col("prob").alias("score"), F.col("is_fraud").alias("label")),
-                    threshold=thr)
-    return model, ev.withColumn("threshold", F.lit(thr)), names
+    ev = M.evaluate(test.select(F.col("prob").alias("score"), F.col("is_fraud").alias("label")), threshold=threshold)
+    return ev.withColumns({"threshold": F.lit(threshold), "trees": F.lit(model.getNumTrees), "val_ap": F.round(F.lit(ap), 9)})
 
 
-HYBRID_NAMES = HYBRID_COLS + ["amt"] + [f"comm_{i}" for i in range(6)]
+HYBRID_NAMES = HYBRID_COLS + [f"comm_{i}" for i in range(6)]
 
 
 @register("gbt_model")
 def gbt_model(spark, sf_dir):
-    """J3 + J9 + J14 + E31: boosted trees on hybrid features, threshold from
-    the validation sweep, persisted and reloaded, test metrics (rows-only)."""
-    return _train_and_eval(spark, sf_dir, HYBRID_NAMES, persist=True)[1]
+    """J3 + J9 + J14 + E31: boosted trees on hybrid features, as many as validation AP
+    asks for, threshold from the validation sweep, persisted and reloaded, test metrics
+    (rows-only)."""
+    h, edges, _ = _hybrid_table(spark, sf_dir)
+    names = HYBRID_NAMES + edges
+    model, data, threshold, _, ap = _fit(h, names)
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/models/hybrid-gbt-{uuid.uuid4().hex}"
+    L.save_model(model, path, threshold, names)
+    model, threshold, _ = L.load_model(path)
+    return _test_metrics(model, data, threshold, ap)
 
 
 @register("gbt_importances")
 def gbt_importances(spark, sf_dir):
     """J12 + G6: top-30 feature importances normalised by the maximum (rows-only)."""
-    model, _, names = _train_and_eval(spark, sf_dir, HYBRID_NAMES)
-    return L.importances(model, names, 30)
+    h, edges, _ = _hybrid_table(spark, sf_dir)
+    model, *_ = _fit(h, HYBRID_NAMES + edges)
+    return L.importances(model, HYBRID_NAMES + edges, 30)
 
 
 @register("gbt_comparator")
 def gbt_comparator(spark, sf_dir):
-    """J4 + J11 + H3: embeddings-only vs embeddings + community features,
-    one metrics row per variant (rows-only)."""
-    variants = {"embeddings": HYBRID_COLS + ["amt"], "embeddings+community": HYBRID_NAMES}
+    """J4 + J11 + H3: embeddings-only vs embeddings + community features, one metrics row
+    per variant, of models on one feature table (rows-only)."""
+    h, edges, _ = _hybrid_table(spark, sf_dir)
     out = None
-    for name, cols in variants.items():
-        ev = _train_and_eval(spark, sf_dir, cols)[1].withColumn("variant", F.lit(name))
+    for name, cols in {"embeddings": HYBRID_COLS + edges, "embeddings+community": HYBRID_NAMES + edges}.items():
+        model, data, threshold, _, ap = _fit(h, cols, **L.GBT_LIGHT)
+        ev = _test_metrics(model, data, threshold, ap).withColumn("variant", F.lit(name))
         out = ev if out is None else out.unionByName(ev)
     return out
 
 
+#: What an incoming transaction tells by itself and by its card's history in the stream.
+STREAM_COLS = ["amt", "hour", "tx_1h", "tx_24h", "gap", "new_card", "burst"]
+
+
+def stream_pipeline(spark, sf_dir, patience=PATIENCE):
+    """The pipeline that scores incoming transactions, trained on the earliest 70 %: node
+    vectors, community features and what the row and its card's history tell; saved and
+    loaded again (J14)."""
+    split = materialize(_time_split(spark, sf_dir).select("transaction_id", "split"), "stream-split")
+    ce, me = (materialize(t, "stream-vectors") for t in _embeddings(spark, sf_dir))
+    cards = materialize(_card_communities(spark, sf_dir, split.filter("split = 'train'")), "stream-communities")
+    tx = PG._tx(spark, sf_dir)
+    rows = tx.join(P.velocity_table(tx), "transaction_id").withColumn("hour", C.hour_of_day("dt"))
+    h = _with_communities(L.pair_features(rows, ce, me, FEATS), cards).join(split, "transaction_id")
+    names = HYBRID_NAMES + STREAM_COLS
+    h = materialize(h.select("transaction_id", "split", "is_fraud", *names), "stream-features")
+    model, _, threshold, _, _ = _fit(h, names, patience)
+    made = SC.make_pipeline(model, names, threshold, h.filter("split = 'train'"), ce, me, cards.drop("community_id", "community_risk"), FEATS)
+    path = ensure_checkpoint_dir(spark).rstrip("/") + f"/models/stream-{uuid.uuid4().hex}"
+    SC.save_pipeline(made, path)
+    return SC.load_pipeline(spark, path)
+
+
+@register("stream_model_scoring")
+def stream_model_scoring(spark, sf_dir):
+    """J13 + J14 + L1: every transaction scored as it comes by the saved pipeline, with the
+    history of the stream's keyed state (rows-only; tests compare with the batch form)."""
+    return P.stream_model_scoring(spark, P.transaction_stream(spark, sf_dir), stream_pipeline(spark, sf_dir))
+
+
 @register("stacked_embeddings", PG.graph_sql(PG.NODE_FEAT_SQL, PROP_SQL)
           + "SELECT 'card_' || card_id AS node, 'card' AS node_type, " + ", ".join(FEATS) + " FROM pc2 "
           + "UNION ALL SELECT 'merchant_' || merchant_id AS node, 'merchant' AS node_type, "
