@@ -41,6 +41,13 @@ def scaler_params(df: DataFrame, cols: list[str]) -> DataFrame:
                       .alias(f"{c}__scale") for c in cols])
 
 
+def scale_by(df: DataFrame, cols: list[str], params) -> DataFrame:
+    """Scale ``cols`` with a row of ``scaler_params`` (two numbers a column, which a model
+    keeps anyway): literals plan in no time where a hundred columns of a subquery do not."""
+    scaled = {c: (C.finite_or_zero(c) - F.lit(params[f"{c}__mean"] or 0.0)) / F.lit(params[f"{c}__scale"] or 1.0) for c in cols}
+    return df.select(*[scaled[c].alias(c) if c in scaled else F.col(c) for c in df.columns])
+
+
 def standard_scale(df: DataFrame, cols: list[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Scale ``cols`` with parameters fitted on ``fit_on`` (default ``df``);
     NaN / inf -> 0 before and after (B13).  The parameters are one struct

@@ -238,10 +238,10 @@ def hybrid_features(spark, sf_dir):
 
 
 #: Upper bound of the boosting rounds, and how many without a better validation AP end
-#: them.  The reference waits 100 rounds; a round of 255 bins and about 90 features takes
-#: Spark ML some seconds however few the rows, so the queries wait less.
+#: them.  The reference waits 100 rounds; a round of Spark ML takes about a second however
+#: few the rows, so the queries wait less.
 MAX_ROUNDS = 2000
-PATIENCE = 8
+PATIENCE = 20
 
 
 def _edge_features(spark, sf_dir):
@@ -270,7 +270,7 @@ def _fit(h, names, patience=PATIENCE, **params):
     threshold from the validation sweep: (model, scaled vectors, threshold, rounds, AP)."""
     train = h.filter(F.col("split") == "train")
     cw = M.class_weight(train.select(F.col("is_fraud").alias("label"))).select("class_weight").scalar()
-    scaled = L.standard_scale(h, names, fit_on=train).withColumn("w", F.when(F.col("is_fraud") == 1, F.coalesce(cw, F.lit(1.0))).otherwise(1.0))
+    scaled = L.scale_by(h, names, L.scaler_params(train, names).first()).withColumn("w", F.when(F.col("is_fraud") == 1, F.coalesce(cw, F.lit(1.0))).otherwise(1.0))
     data = materialize(L.assemble(scaled, names).select("transaction_id", "split", "is_fraud", "w", "features"), "hybrid-vectors")
     val = data.filter(F.col("split") == "val")
     model, rounds, ap = L.train_gbt_by_ap(data.filter(F.col("split") == "train"), val, "is_fraud", "w", patience=patience, max_rounds=MAX_ROUNDS, **params)
