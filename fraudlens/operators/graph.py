@@ -143,57 +143,136 @@ def label_propagation(edges: DataFrame, rounds: int = DEFAULT_LPA_ROUNDS) -> Dat
     return out.select("node", "node_type", F.col("label").alias("community_id"))
 
 
-def _modularity_vote(edges: DataFrame, labels: DataFrame, listener: str, speaker: str,
-                     degree: DataFrame, two_m, resolution: float) -> DataFrame:
-    """Each ``listener`` takes the neighbour label L maximising Louvain's
-    local-move gain  w(v, L) - resolution * k_v * Sigma_tot(L) / 2m
-    (ties -> smallest label).  All three parts are grouped aggregates."""
-    lab = labels.filter(F.col("side") == speaker).select(F.col("node").alias(speaker), "label")
-    votes = edges.join(lab, speaker).groupBy(listener, "label").agg(F.sum("weight").alias("w"))
-    totals = labels.join(degree, "node").groupBy("label").agg(F.sum("k").alias("D"))
-    v = votes.join(totals, "label").join(degree.withColumnRenamed("node", listener), listener)
-    gain = F.col("w") - F.lit(resolution) * F.col("k") * F.col("D") / two_m
-    best = v.groupBy(listener).agg(
-        F.min_by("label", F.struct((-gain).alias("g"), F.col("label"))).alias("label"))
-    return best.select(F.col(listener).alias("node"), "label")
-
-
-def modularity_communities(edges: DataFrame, rounds: int = DEFAULT_LPA_ROUNDS,
-                           resolution: float = 1.0) -> DataFrame:
-    """Louvain-style community detection as synchronous, alternating
-    local moves.  Louvain's greedy pass is sequential (one node at a time);
-    here every card moves at once given the merchants' labels, then every
-    merchant given the cards', each to the neighbour community with the best
-    modularity gain.  The degree penalty stops the collapse into one giant
-    label that plain propagation shows on dense graphs; ``resolution``
-    scales it (larger -> smaller communities).  Fixed rounds with an early
-    stop at a fixed point; each round is written under the checkpoint dir."""
-    # The edge list is read by every round: materialise it once.
-    e = _checkpoint(edges.select("src", "dst", "weight"))
-    ends = e.select(F.col("src").alias("node"), "weight").unionByName(
-        e.select(F.col("dst").alias("node"), "weight"))
-    degree = _checkpoint(ends.groupBy("node").agg(F.sum("weight").alias("k")))
-    two_m = e.select(F.sum("weight") * 2).scalar()
-    cards = _checkpoint(e.select(F.col("src").alias("node")).distinct()
-                        .withColumn("label", F.col("node")))
-    merch = _checkpoint(e.select(F.col("dst").alias("node")).distinct()
-                        .withColumn("label", F.col("node")))
-
-    def both(c, m):
-        return c.withColumn("side", F.lit("src")).unionByName(m.withColumn("side", F.lit("dst")))
-
-    for _ in range(rounds):
-        new_cards = _checkpoint(_modularity_vote(e, both(cards, merch), "src", "dst", degree,
-                                                 two_m, resolution))
-        new_merch = _checkpoint(_modularity_vote(e, both(new_cards, merch), "dst", "src", degree,
-                                                 two_m, resolution))
-        changed = _any_label_changed([(new_cards, cards), (new_merch, merch)])
-        cards, merch = new_cards, new_merch
-        if not changed:
+#: A move must gain more than this share of its node's weight, so that rounding never counts as gain.
+MIN_GAIN = 1e-9
+#: The moves of a round are ordered by a hash to so many buckets.
+MOVE_BUCKETS = 16
+
+
+def _move_bucket(node, turn: int):
+    """A bucket by the first 16 bits of an md5, which SQL engines compute alike."""
+    digits = F.substring(F.md5(F.concat(node, F.lit(f"/{turn}"))), 1, 4)
+    return (F.conv(digits, 16, 10).cast("int") % MOVE_BUCKETS).alias("bucket")
+
+
+def _best_moves(adjacent: DataFrame, state: DataFrame, two_m, resolution: float) -> DataFrame:
+    """The best single move of every node that gains by one: (node, k, a, b, total_b, gain),
+    from community a to b; ties -> smallest label.
+
+    In units of edge weight, a node of weight k scores w(v, C) - resolution * k * total(C) / 2m
+    at a community C without itself; the gain is the difference of two scores.  ``state``
+    carries the total of a node's community, so votes need no join with totals."""
+    votes = adjacent.filter("u <> v").join(
+        state.select(F.col("node").alias("v"), "label", "total"), "v").groupBy("u", "label").agg(
+        F.sum("w").cast("double").alias("w"), F.max("total").alias("total"))
+    own = state.select(F.col("node").alias("u"), F.col("label").alias("a"), "k", F.col("total").alias("total_a"))
+    penalty = F.lit(float(resolution)) * F.col("k")
+    v = votes.join(own, "u").withColumn("score", F.col("w") - penalty * F.col("total") / two_m)
+    other = F.col("label") != F.col("a")
+    best = v.groupBy("u").agg(
+        F.first("a").alias("a"), F.first("k").alias("k"), F.first("total_a").alias("total_a"),
+        F.coalesce(F.max(F.when(~other, F.col("w"))), F.lit(0.0)).alias("w_a"),
+        F.min(F.when(other, F.struct((-F.col("score")).alias("s"), F.col("label").alias("b"), "total"))).alias("best"))
+    gain = -F.col("best.s") - (F.col("w_a") - penalty * (F.col("total_a") - F.col("k")) / two_m)
+    return best.select(F.col("u").alias("node"), "k", "a", F.col("best.b").alias("b"),
+                       F.col("best.total").alias("total_b"), gain.alias("gain")) \
+               .filter(F.col("gain") > MIN_GAIN * F.col("k"))
+
+
+def _sides(moves: DataFrame, *columns: str) -> DataFrame:
+    """A row for each community that a move touches: (label, joins, columns)."""
+    return moves.select(F.explode(F.array(
+        F.struct(F.col("a").alias("label"), F.lit(False).alias("joins")),
+        F.struct(F.col("b").alias("label"), F.lit(True).alias("joins")))).alias("_s"), *columns).select("_s.*", *columns)
+
+
+def _accepted(moves: DataFrame, two_m, resolution: float, turn: int) -> DataFrame:
+    """The moves of a round that can be made together without loss, as rows of ``moves``.
+
+    * A community is left or joined in a round, not both: joined if its best move in
+      beats its best move out.  So no mover's neighbour leaves the community it joins.
+    * Movers that leave or join one community then only add to each other's penalty.
+      They are ordered (the best move of both its communities first, the others by
+      hash), and one is accepted if it still gains after all before it and in its own
+      bucket.  Any subset of these moves gains too.
+
+    The best move of all is always accepted, so modularity rises in every round."""
+    key = F.struct("gain", "node")
+    tops = _sides(moves, "gain", "node").groupBy("label").agg(
+        F.max(F.when(F.col("joins"), key)).alias("top_in"), F.max(F.when(~F.col("joins"), key)).alias("top_out"))
+    joined = tops.filter("top_in is not null and (top_out is null or top_in > top_out)").select(
+        F.col("label").alias("b"), "top_in")
+    left = tops.filter("top_out is not null and (top_in is null or top_out > top_in)").select(
+        F.col("label").alias("a"), "top_out")
+    first = (key == F.col("top_in")) & (key == F.col("top_out"))
+    able = moves.join(joined, "b").join(left, "a").select(
+        *moves.columns, F.when(first, F.lit(-1)).otherwise(_move_bucket(F.col("node"), turn)).alias("bucket"))
+    # Of each community the weight of the movers up to each bucket, from -1 on.
+    upto = _sides(able, "bucket", "k").groupBy("label").agg(F.array(*[
+        F.sum(F.when(F.col("bucket") <= i, F.col("k")).otherwise(0.0)) for i in range(-1, MOVE_BUCKETS)]).alias("upto"))
+    at = F.col("bucket") + 2
+    both = F.element_at("in", at) + F.element_at("out", at) - 2 * F.col("k")
+    rest = F.lit(float(resolution)) * F.col("k") * both / two_m
+    return able.join(upto.select(F.col("label").alias("b"), F.col("upto").alias("in")), "b") \
+               .join(upto.select(F.col("label").alias("a"), F.col("upto").alias("out")), "a") \
+               .filter(F.col("gain") - rest > MIN_GAIN * F.col("k")).select(*moves.columns)
+
+
+def _settled(adjacent: DataFrame, degree: DataFrame, two_m, resolution: float) -> tuple[DataFrame, bool]:
+    """Rounds of moves until no single move gains: (node, label, k, total), and whether any
+    was made.  The tables that a round's joins read are written first, so that their sizes
+    are known when a join is planned."""
+    state, turn = degree.select("node", F.col("node").alias("label"), "k", F.col("k").alias("total")), 0
+    while True:
+        moves = _checkpoint(_best_moves(adjacent, state, two_m, resolution))
+        if moves.isEmpty():
+            return state, turn > 0
+        made = _checkpoint(_accepted(moves, two_m, resolution, turn))
+        change = _sides(made, "k").groupBy("label").agg(
+            F.sum(F.when(F.col("joins"), F.col("k")).otherwise(-F.col("k"))).alias("_change"))
+        state = _checkpoint(
+            state.join(made.select("node", F.col("b").alias("_to"), F.col("total_b").alias("_total")), "node", "left")
+                 .select("node", F.coalesce("_to", "label").alias("label"), "k", F.coalesce("_total", "total").alias("total"))
+                 .join(change, "label", "left")
+                 .select("node", "label", "k", (F.col("total") + F.coalesce("_change", F.lit(0.0))).alias("total")))
+        turn += 1
+
+
+def modularity_communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """Communities by modularity, with levels.
+
+    Every node starts alone.  Rounds of moves (``_best_moves``, ``_accepted``) go on until
+    no single move gains; communities then become the nodes of a weighted graph with
+    self loops, on which the same goes on, until a level makes no move.  The moves of a
+    round are chosen so that modularity rises with each, hence there is an end and no
+    round limit.  Deterministic; ``resolution`` scales the penalty (larger -> smaller
+    communities).  Output ``(node, node_type, community_id)``, a community being named by
+    its smallest node key.  An empty edge list gives no rows.  Weights must be positive.
+
+    A round is two joins and aggregates over the edges and one over the moves; both are
+    written under the checkpoint folder.  A hub's votes are reduced map-side."""
+    e = edges.select("src", "dst", "weight")
+    adjacent = _checkpoint(e.select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("weight").alias("w"))
+                           .unionByName(e.select(F.col("dst").alias("u"), F.col("src").alias("v"), F.col("weight").alias("w"))))
+    degree = _checkpoint(adjacent.groupBy(F.col("u").alias("node")).agg(F.sum("w").cast("double").alias("k")))
+    two_m = F.lit(float(degree.agg(F.sum("k")).first()[0] or 0.0))
+    member = degree.select("node", F.col("node").alias("label"))
+    while True:
+        state, moved = _settled(adjacent, degree, two_m, resolution)
+        if not moved:
             break
-    out = cards.withColumn("node_type", F.lit(CARD)).unionByName(
-        merch.withColumn("node_type", F.lit(MERCHANT)))
-    return out.select("node", "node_type", F.col("label").alias("community_id"))
+        up = state.select(F.col("node").alias("label"), F.col("label").alias("_up"))
+        member = _checkpoint(member.join(up, "label").select("node", F.col("_up").alias("label")))
+        label = state.select("node", "label")
+        adjacent = _checkpoint(
+            adjacent.join(label.withColumnsRenamed({"node": "u", "label": "_u"}), "u")
+                    .join(label.withColumnsRenamed({"node": "v", "label": "_v"}), "v")
+                    .groupBy(F.col("_u").alias("u"), F.col("_v").alias("v")).agg(F.sum("w").alias("w")))
+        degree = _checkpoint(state.groupBy(F.col("label").alias("node")).agg(F.sum("k").alias("k")))
+    names = member.groupBy("label").agg(F.min("node").alias("community_id"))
+    return member.join(names, "label").select(
+        "node", F.when(F.col("node").startswith(f"{CARD}_"), CARD).otherwise(MERCHANT).alias("node_type"),
+        "community_id")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from fraudlens.operators import community as CM
 from fraudlens.operators import graph as G
 from fraudlens.plans import sql as S
 from fraudlens.plans.registry import TX_SQL, register
+from fraudlens.sources import files
 from fraudlens.sources.tables import identity, transactions
 
 LPA_ROUNDS = G.DEFAULT_LPA_ROUNDS
@@ -39,34 +40,62 @@ def _lpa_sql(rounds: int = LPA_ROUNDS, out: str = "lpa", p: str = "l") -> str:
     return ",\n".join(parts)
 
 
-def _louvain_sql(rounds: int = LPA_ROUNDS, resolution: float = 1.0, out: str = "comm") -> str:
-    """Modularity-gain propagation, unrolled: the oracle of ``modularity_communities``."""
-    parts = ["""deg AS (SELECT node, sum(weight) AS k FROM (
-  SELECT src AS node, weight FROM e UNION ALL SELECT dst AS node, weight FROM e) GROUP BY node)""",
-             "tm AS (SELECT 2 * sum(weight) AS m2 FROM e)",
-             "m0 AS (SELECT DISTINCT dst AS node, dst AS label FROM e)",
-             "c0 AS (SELECT DISTINCT src AS node, src AS label FROM e)"]
-
-    def vote(name, listener, speaker, spk_tab, card_tab, merch_tab):
-        return f"""{name} AS (
-  SELECT v.{listener} AS node,
-         arg_min(v.label, (-(v.w - CAST({resolution!r} AS DOUBLE) * d.k * t.D / (SELECT m2 FROM tm)), v.label)) AS label
-  FROM (SELECT e.{listener}, s.label, sum(e.weight) AS w FROM e JOIN {spk_tab} s ON e.{speaker} = s.node
-        GROUP BY e.{listener}, s.label) v
-  JOIN (SELECT l.label, sum(dd.k) AS D FROM (SELECT * FROM {card_tab} UNION ALL SELECT * FROM {merch_tab}) l
-        JOIN deg dd ON dd.node = l.node GROUP BY l.label) t ON t.label = v.label
-  JOIN deg d ON d.node = v.{listener}
-  GROUP BY v.{listener})"""
-    for r in range(1, rounds + 1):
-        parts.append(vote(f"c{r}", "src", "dst", f"m{r-1}", f"c{r-1}", f"m{r-1}"))
-        parts.append(vote(f"m{r}", "dst", "src", f"c{r}", f"c{r}", f"m{r-1}"))
-    parts.append(f"""{out} AS (
-  SELECT node, 'card' AS node_type, label AS community_id FROM c{rounds}
-  UNION ALL SELECT node, 'merchant' AS node_type, label AS community_id FROM m{rounds})""")
+#: Levels that the oracle spells out; a level without moves repeats its input.
+SQL_LEVELS = 5
+
+
+def _louvain_sql(resolution: float = 1.0, out: str = "comm") -> str:
+    """The oracle of ``modularity_communities``: a recursive query a level, whose rounds
+    end when no move is left."""
+    parts = ["""a0 AS MATERIALIZED (SELECT src AS u, dst AS v, weight AS w FROM e
+  UNION ALL SELECT dst AS u, src AS v, weight AS w FROM e)""",
+             "g0 AS MATERIALIZED (SELECT u AS node, CAST(sum(w) AS DOUBLE) AS k FROM a0 GROUP BY u)",
+             "tm AS MATERIALIZED (SELECT sum(k) AS m2 FROM g0)",
+             "f0 AS MATERIALIZED (SELECT node, node AS label FROM g0)"]
+    g = f"CAST({resolution!r} AS DOUBLE)"
+    for i in range(SQL_LEVELS):
+        parts.append(f"""s{i}(turn, node, label, k) AS (
+  SELECT 0, node, node, k FROM g{i}
+  UNION ALL (
+  WITH s AS MATERIALIZED (SELECT * FROM s{i}),
+  t AS (SELECT label, sum(k) AS total FROM s GROUP BY label),
+  n AS MATERIALIZED (SELECT s.*, total FROM s JOIN t ON t.label = s.label),
+  vo AS (SELECT a.u, n.label, n.total, CAST(sum(a.w) AS DOUBLE) AS w FROM a{i} a JOIN n ON n.node = a.v
+         WHERE a.u <> a.v GROUP BY a.u, n.label, n.total),
+  sc AS (SELECT n.node, n.k, n.label AS a, vo.label AS b, vo.w - {g} * n.k * vo.total / (SELECT m2 FROM tm) AS score
+         FROM vo JOIN n ON n.node = vo.u WHERE vo.label <> n.label),
+  ow AS (SELECT n.node, coalesce(vo.w, 0.0) - {g} * n.k * (n.total - n.k) / (SELECT m2 FROM tm) AS score
+         FROM n LEFT JOIN vo ON vo.u = n.node AND vo.label = n.label),
+  mv AS MATERIALIZED (SELECT * FROM (
+           SELECT sc.node, k, a, b, sc.score - ow.score AS gain,
+                  row_number() OVER (PARTITION BY sc.node ORDER BY sc.score DESC, b) AS place
+           FROM sc JOIN ow ON ow.node = sc.node)
+         WHERE place = 1 AND gain > {G.MIN_GAIN!r} * k),
+  ti AS (SELECT b AS label, max((gain, node)) AS top FROM mv GROUP BY b),
+  tl AS (SELECT a AS label, max((gain, node)) AS top FROM mv GROUP BY a),
+  ab AS MATERIALIZED (SELECT mv.*, CASE WHEN (gain, node) = i.top AND (gain, node) = l.top THEN -1
+           ELSE CAST('0x' || substr(md5(node || '/' || (SELECT max(turn) FROM s)), 1, 4) AS INTEGER) % {G.MOVE_BUCKETS} END AS bucket
+         FROM mv JOIN ti i ON i.label = mv.b JOIN tl l ON l.label = mv.a
+         LEFT JOIN ti ai ON ai.label = mv.a LEFT JOIN tl bl ON bl.label = mv.b
+         WHERE (ai.top IS NULL OR l.top > ai.top) AND (bl.top IS NULL OR i.top > bl.top)),
+  ac AS MATERIALIZED (SELECT x.node, x.b FROM (SELECT *,
+           sum(k) OVER (PARTITION BY b ORDER BY bucket) AS k_in, sum(k) OVER (PARTITION BY a ORDER BY bucket) AS k_out
+         FROM ab) x
+         WHERE gain - {g} * k * (k_in + k_out - 2 * k) / (SELECT m2 FROM tm) > {G.MIN_GAIN!r} * k)
+  SELECT s.turn + 1, s.node, coalesce(ac.b, s.label), s.k FROM s LEFT JOIN ac ON ac.node = s.node
+  WHERE (SELECT count(*) FROM ac) > 0))""")
+        parts.append(f"l{i} AS MATERIALIZED (SELECT node, any_value(k) AS k, arg_max(label, turn) AS label FROM s{i} GROUP BY node)")
+        parts.append(f"f{i + 1} AS MATERIALIZED (SELECT f.node, l.label FROM f{i} f JOIN l{i} l ON l.node = f.label)")
+        parts.append(f"""a{i + 1} AS MATERIALIZED (SELECT x.label AS u, y.label AS v, sum(w) AS w FROM a{i} a
+  JOIN l{i} x ON x.node = a.u JOIN l{i} y ON y.node = a.v GROUP BY x.label, y.label)""")
+        parts.append(f"g{i + 1} AS MATERIALIZED (SELECT label AS node, sum(k) AS k FROM l{i} GROUP BY label)")
+    parts.append(f"""{out} AS MATERIALIZED (
+  SELECT node, CASE WHEN starts_with(node, 'card_') THEN 'card' ELSE 'merchant' END AS node_type,
+         min(node) OVER (PARTITION BY label) AS community_id FROM f{SQL_LEVELS})""")
     return ",\n".join(parts)
 
 
-LPA_SQL = _louvain_sql()
+COMMUNITY_SQL = _louvain_sql()
 PLAIN_LPA_SQL = _lpa_sql()
 
 CLEAN_HOUR = "CAST((dt // 3600) % 24 AS INTEGER)"
@@ -112,7 +141,8 @@ sus AS (
 
 
 def graph_sql(*extra: str, resolution: float = RESOLUTION) -> str:
-    return S.ctes(TX_SQL, EDGES_SQL, LPA_SQL if resolution == RESOLUTION else _louvain_sql(resolution=resolution), *extra)
+    body = S.ctes(TX_SQL, EDGES_SQL, COMMUNITY_SQL if resolution == RESOLUTION else _louvain_sql(resolution=resolution), *extra)
+    return body.replace("WITH", "WITH RECURSIVE", 1)
 
 
 def _tx(spark, sf_dir):
@@ -125,7 +155,9 @@ def _edges(spark, sf_dir):
 
 
 def _communities(spark, sf_dir, resolution: float = RESOLUTION):
-    return G.modularity_communities(_edges(spark, sf_dir), LPA_ROUNDS, resolution)
+    """Built once a session for all queries that read them."""
+    return files.shared_stage(spark, "communities", [f"{sf_dir}/events.parquet"], (resolution,),
+                              lambda: G.modularity_communities(_edges(spark, sf_dir), resolution))
 
 
 def _stats(spark, sf_dir, comm=None):

@@ -7,10 +7,14 @@ are Spark directories (many part files), readable by Spark or DuckDB.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fraudlens.session import ensure_checkpoint_dir
+
 
 def _file(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -172,6 +176,19 @@ def stage(spark: SparkSession, path: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def shared_stage(spark: SparkSession, name: str, inputs: list[str], params: tuple, build) -> DataFrame:
+    """A9 across queries: one table a session for an operator, its parameters and the state
+    of its input files (path, length, time of change); a changed, added or lost file gives
+    another table.  It lies under the checkpoint folder and is rebuilt if its writer did
+    not complete it.  One row of the listing reaches the driver, however many the files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(inputs).select(
+        "path", "length", "modificationTime")
+    state = files.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("path", "length", "modificationTime")),
+                      F.sum("length")).first()
+    key = hashlib.sha256(repr((spark.sparkContext.applicationId, name, sorted(inputs), params, tuple(state))).encode())
+    return stage(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/shared/{name}-{key.hexdigest()[:32]}", build)
+
+
 # --- A10: embeddings ------------------------------------------------------------------------------
 def write_embeddings(df: DataFrame, key: str, cols: list[str], path: str, node_type: str) -> None:
     """A10: node vectors as ``array<double>`` Parquet, one directory per type."""

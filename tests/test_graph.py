@@ -61,3 +61,92 @@ def test_components_on_long_chain(spark):
     e = spark.createDataFrame(rows, "src string, dst string, weight long")
     comp = G.connected_components(e).collect()
     assert len(comp) == 120 and {r.component for r in comp} == {"card_000"}
+
+
+def blocks(spark, groups=4, cards=6, merchants=3):
+    """Dense blocks in a ring, each joined to the next by one light edge."""
+    rows = [(f"card_{g}_{c}", f"merchant_{g}_{m}", 4) for g in range(groups) for c in range(cards) for m in range(merchants)]
+    rows += [(f"card_{g}_0", f"merchant_{(g + 1) % groups}_0", 1) for g in range(groups)]
+    return rows, spark.createDataFrame(rows, "src string, dst string, weight long")
+
+
+def score(rows, label, resolution=1.0):
+    """Modularity by its definition."""
+    m = sum(w for *_, w in rows)
+    inner, total = {}, {}
+    for s, d, w in rows:
+        for n in (s, d):
+            total[label[n]] = total.get(label[n], 0) + w
+        if label[s] == label[d]:
+            inner[label[s]] = inner.get(label[s], 0) + w
+    return sum(inner.get(c, 0) / m - resolution * (t / (2 * m)) ** 2 for c, t in total.items())
+
+
+def test_communities_find_planted_blocks(spark):
+    rows, e = blocks(spark)
+    label = {r.node: r.community_id for r in G.modularity_communities(e).collect()}
+    found = {}
+    for n, c in label.items():
+        found.setdefault(c, set()).add(n.split("_")[1])
+    assert len(found) == 4 and all(len(g) == 1 for g in found.values())
+    assert all(c == min(n for n in label if label[n] == c) for c in found)
+
+
+def test_communities_of_random_graph_merge_no_further(spark):
+    import random
+
+    rng = random.Random(5)
+    pairs = {(f"card_{rng.randrange(40)}", f"merchant_{rng.randrange(15) if rng.random() < .6 else 0}") for _ in range(200)}
+    rows = sorted((s, d, rng.randint(1, 5)) for s, d in pairs)  # merchant_0 is a hub
+    e = spark.createDataFrame(rows, "src string, dst string, weight long")
+    out = G.modularity_communities(e)
+    label = {r.node: r.community_id for r in out.collect()}
+    q = score(rows, label)
+    assert abs(q - G.modularity(e, out).first().modularity) < 1e-8
+    assert q > score(rows, {n: n for n in label}) and q > 0.1
+    groups = sorted(set(label.values()))
+    for i, x in enumerate(groups):  # the last level made no move: no two communities gain by merging
+        for y in groups[i + 1:]:
+            assert score(rows, {n: x if c == y else c for n, c in label.items()}) <= q + 1e-9
+    assert label == {r.node: r.community_id for r in G.modularity_communities(e).collect()}
+
+
+def test_settled_level_has_no_gaining_move(spark):
+    rows, e = blocks(spark, groups=3, cards=4, merchants=2)
+    rows.append(("card_0_0", "merchant_1_1", 3))
+    both = rows + [(d, s, w) for s, d, w in rows]
+    adjacent = spark.createDataFrame(both, "u string, v string, w long")
+    degree = adjacent.groupBy(F.col("u").alias("node")).agg(F.sum("w").cast("double").alias("k"))
+    state, moved = G._settled(adjacent, degree, F.lit(float(sum(w for *_, w in both))), 1.0)
+    got = state.collect()
+    label = {r.node: r.label for r in got}
+    assert moved
+    for r in got:  # totals are carried on; no node gains at a neighbour's community
+        assert r.total == sum(x.k for x in got if x.label == r.label)
+        for c in {label[v] for u, v, _ in both if u == r.node}:
+            assert score(rows, {**label, r.node: c}) <= score(rows, label) + 1e-9
+
+
+def test_communities_of_empty_and_single_edge(spark):
+    e = spark.createDataFrame([("card_1", "merchant_1", 2)], "src string, dst string, weight long")
+    assert G.modularity_communities(e.limit(0)).count() == 0
+    assert {tuple(r) for r in G.modularity_communities(e).collect()} == {
+        ("card_1", "card", "card_1"), ("merchant_1", "merchant", "card_1")}
+
+
+def test_shared_stage_is_built_once_until_a_file_changes(spark, tmp_path):
+    from fraudlens.sources import files
+
+    path, built = str(tmp_path / "in"), []
+
+    def build():
+        built.append(1)
+        return spark.read.parquet(path).agg(F.sum("id").alias("s"))
+
+    def get(*params):
+        return files.shared_stage(spark, "probe", [path], params, build).first().s
+    spark.range(4).write.parquet(path)
+    assert [get(), get(), len(built)] == [6, 6, 1]
+    assert get("other") == 6 and len(built) == 2
+    spark.range(4, 6).write.mode("append").parquet(path)
+    assert get() == 15 and len(built) == 3
