@@ -181,9 +181,9 @@ def _best_moves(adjacent: DataFrame, state: DataFrame, two_m, resolution: float)
 
 def _sides(moves: DataFrame, *columns: str) -> DataFrame:
     """A row for each community that a move touches: (label, joins, columns)."""
-    return moves.select(F.explode(F.array(
-        F.struct(F.col("a").alias("label"), F.lit(False).alias("joins")),
-        F.struct(F.col("b").alias("label"), F.lit(True).alias("joins")))).alias("_s"), *columns).select("_s.*", *columns)
+    return moves.selectExpr(
+        "explode(array(struct(a AS label, false AS joins), struct(b AS label, true AS joins))) AS _s",
+        *columns).select("_s.*", *columns)
 
 
 def _accepted(moves: DataFrame, two_m, resolution: float, turn: int) -> DataFrame:
@@ -205,11 +205,11 @@ def _accepted(moves: DataFrame, two_m, resolution: float, turn: int) -> DataFram
     left = tops.filter("top_out is not null and (top_in is null or top_out > top_in)").select(
         F.col("label").alias("a"), "top_out")
     first = (key == F.col("top_in")) & (key == F.col("top_out"))
-    able = moves.join(joined, "b").join(left, "a").select(
-        *moves.columns, F.when(first, F.lit(-1)).otherwise(_move_bucket(F.col("node"), turn)).alias("bucket"))
+    able = _checkpoint(moves.join(joined, "b").join(left, "a").select(
+        *moves.columns, F.when(first, F.lit(-1)).otherwise(_move_bucket(F.col("node"), turn)).alias("bucket")))
     # Of each community the weight of the movers up to each bucket, from -1 on.
-    upto = _sides(able, "bucket", "k").groupBy("label").agg(F.array(*[
-        F.sum(F.when(F.col("bucket") <= i, F.col("k")).otherwise(0.0)) for i in range(-1, MOVE_BUCKETS)]).alias("upto"))
+    sums = ", ".join(f"sum(if(bucket <= {i}, k, 0D))" for i in range(-1, MOVE_BUCKETS))  # one expression: quick to build
+    upto = _sides(able, "bucket", "k").groupBy("label").agg(F.expr(f"array({sums})").alias("upto"))
     at = F.col("bucket") + 2
     both = F.element_at("in", at) + F.element_at("out", at) - 2 * F.col("k")
     rest = F.lit(float(resolution)) * F.col("k") * both / two_m
