@@ -283,6 +283,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     ``distinct``; the edge list is materialised after every round.  Rounds end
     when count and hash sum of the edge list no longer change: every node then
     hangs off its component's smallest node key."""
+    lab = component_labels(edges)
+    return lab.withColumn("node_type", F.when(F.col("node").startswith(f"{CARD}_"), CARD)
+                          .otherwise(MERCHANT))
+
+
+def component_labels(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of every node of ``edges`` (src, dst of any
+    ordered type) that has another neighbour than itself."""
     e = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct()
     und = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
     cur = _checkpoint(und.filter(F.col("u") != F.col("v")).distinct())
@@ -312,9 +320,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    lab = star_min(cur).select(F.col("u").alias("node"), F.col("m").alias("component"))
-    return lab.withColumn("node_type", F.when(F.col("node").startswith(f"{CARD}_"), CARD)
-                          .otherwise(MERCHANT))
+    return star_min(cur).select(F.col("u").alias("node"), F.col("m").alias("component"))
 
 
 def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 1.0,

@@ -10,9 +10,13 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
 # Settings every query in this package relies on.
 #  * UTC: event timestamps arrive as timestamp_ntz and are turned into epoch
 #    seconds; calendar parts must not depend on the host zone.
@@ -79,6 +83,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def ship_sources(spark: SparkSession) -> None:
+    """Send this package's sources to the Python workers, once an application: the
+    executors need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = Path(__file__).parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="fraudlens-src-"), "fraudlens-sources.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
+
+
 def materialize(df, name: str = "stage"):
     """Cut lineage by writing ``df`` as a Parquet table under the session's
     checkpoint directory (a shared folder on a cluster) and reading it back.
