@@ -135,6 +135,11 @@ def normalize_id(c) -> Column:
     return F.coalesce(as_int.cast("string"), col(c).cast("string"))
 
 
+def seeded(seed, c) -> Column:
+    """A hash of seed and value that any engine can compute: 60 bits of an md5."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), col(c).cast("string"))), 1, 15), 16, 10).cast("bigint")
+
+
 def node_key(kind: str, c) -> Column:
     return F.concat(F.lit(f"{kind}_"), col(c).cast("string"))
 

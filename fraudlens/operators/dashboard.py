@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudlens.functions import columns as C
+from fraudlens.operators.ranges import exact_quantile
 
 # Amount bin edges (left-closed) and their labels.
 AMOUNT_BIN_EDGES = [0, 50, 100, 200, 500, 1000, 5000]
@@ -85,7 +86,7 @@ def trimmed_amounts(df: DataFrame, q: float = TRIM_QUANTILE) -> DataFrame:
     """C2 + C4 + E23: per class, rows strictly below the class's q-quantile
     (linear interpolation).  The quantile table has one row per class (two
     rows), so broadcasting it is size-safe."""
-    cut = df.groupBy("is_fraud").agg(F.percentile("amt", q).alias("_cut"))
+    cut = exact_quantile(df, "amt", q, ["is_fraud"], "_cut")
     return (df.join(F.broadcast(cut), "is_fraud")
               .filter(F.col("amt") < F.col("_cut")).drop("_cut"))
 
@@ -95,7 +96,7 @@ def card_frequency_summary(df: DataFrame, q: float = 0.95, bins: int = 50) -> Da
     ``bins``-bin histogram over [min, max] of the counts."""
     counts = df.groupBy("card1").agg(F.count(F.lit(1)).alias("n"))
     return histogram(counts, "n", bins).withColumn(
-        "p95", counts.select(F.percentile("n", q)).scalar())
+        "p95", exact_quantile(counts, "n", q).scalar())
 
 
 def histogram(df: DataFrame, c: str, bins: int, by: list[str] | None = None) -> DataFrame:

@@ -371,7 +371,7 @@ def display_sample(edges: DataFrame, communities: DataFrame, community_id,
     The sample is the feature (a display subset); the per-type top-n is a
     distributed top-k over the one community's nodes."""
     lab = communities.filter(F.col("community_id") == F.lit(community_id)) \
-                     .withColumn("_h", F.xxhash64(F.lit(seed), "node"))
+                     .withColumn("_h", C.seeded(seed, "node"))
 
     def top(kind, k):  # distributed top-k (TakeOrderedAndProject), no window
         return lab.filter(F.col("node_type") == kind).orderBy("_h", "node").limit(k)
@@ -446,8 +446,8 @@ def negative_samples(edges: DataFrame, n: int | None = None, seed: int = 42) ->
     nm = idx.filter(F.col("node_type") == MERCHANT).select(F.count(F.lit(1))).scalar()
     total = n if n is not None else edges.count()
     draws = spark.range(total).select(
-        "id", F.pmod(F.xxhash64(F.lit(seed), F.lit("c"), "id"), nc).alias("src_idx"),
-        F.pmod(F.xxhash64(F.lit(seed), F.lit("m"), "id"), nm).alias("dst_idx"))
+        "id", (C.seeded(f"{seed}:c", "id") % nc).alias("src_idx"),
+        (C.seeded(f"{seed}:m", "id") % nm).alias("dst_idx"))
     ci = idx.filter(F.col("node_type") == CARD).select(F.col("idx").alias("src_idx"), F.col("node").alias("src"))
     mi = idx.filter(F.col("node_type") == MERCHANT).select(F.col("idx").alias("dst_idx"), F.col("node").alias("dst"))
     return draws.join(ci, "src_idx").join(mi, "dst_idx").select("id", "src", "dst")

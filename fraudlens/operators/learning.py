@@ -90,7 +90,7 @@ def stratified_split(df: DataFrame, label: str, id_col: str, seed: int = 42,
 
     Positions come from one global ordering by (label, hash, id) minus the
     number of rows of smaller labels, so no label is gathered in one task."""
-    h = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col)))
+    h = df.withColumn("_h", C.seeded(seed, id_col))
     r = global_row_number(h, [label, "_h", id_col], "_pos")
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
@@ -123,7 +123,7 @@ def borderline_shift(train: DataFrame, val_scored: DataFrame, score: str, label:
     need = val_scored.filter(F.col(score).between(low, high)).groupBy(label).agg(
         F.count(F.lit(1)).alias("_need"))
     pool = train.groupBy(label).agg(F.count(F.lit(1)).alias("_pool"))
-    h = train.withColumn("_h", F.xxhash64(F.lit(seed), F.col(id_col)))
+    h = train.withColumn("_h", C.seeded(seed, id_col))
     r = global_row_number(h, [label, "_h", id_col], "_pos")
     w = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)
     starts = pool.select(label, "_pool", F.coalesce(F.sum("_pool").over(w), F.lit(0)).alias("_start"))

@@ -4,11 +4,9 @@ Everything starts from per-score counts ``(score, pos, neg)``: a grouped
 aggregate that map-side combines, so a heavily tied score costs one partial
 row per partition.  Rank-based metrics (ROC-AUC with ties, average
 precision, curves) need cumulative counts over the *distinct* scores in
-order.  A single unpartitioned window over them would put every distinct
-score into one task, so the prefix sums are two-level: scores are grouped
-into ``SCORE_BUCKETS`` coarse buckets, bucket totals get a prefix sum (a
-window over at most ``SCORE_BUCKETS`` rows), and a window partitioned by
-bucket finishes the job with the bucket's offset added.
+order: running totals over ranges of scores whose bounds are sampled
+(``ranges.running_totals``), so no task holds them all and scores that crowd
+in a small part of [0, 1] are spread as well.
 """
 
 from __future__ import annotations
@@ -17,8 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fraudlens.functions import columns as C
+from fraudlens.operators.ranges import running_totals
 
-SCORE_BUCKETS = 1024
 PRECISION = 9
 # Fixed values of the threshold sweep: 0.10, 0.12, ..., 0.90; default 0.5.
 SWEEP_START, SWEEP_STEP, SWEEP_COUNT, SWEEP_DEFAULT = 10, 2, 41, 0.5
@@ -31,49 +29,39 @@ def score_counts(df: DataFrame, score: str = "score", label: str = "label") -> D
         F.sum(y).cast("bigint").alias("pos"), F.sum(1 - y).cast("bigint").alias("neg"))
 
 
-def _bucket_of(score_col):
-    # Monotone map of any double to a bucket id: scores are assumed in [0, 1]
-    # (clipped), anything outside lands in the first / last bucket.
-    s = F.least(F.greatest(score_col, F.lit(0.0)), F.lit(1.0))
-    return F.least(F.floor(s * SCORE_BUCKETS), F.lit(SCORE_BUCKETS - 1)).cast("int")
-
-
 def cumulative_counts(counts: DataFrame) -> DataFrame:
     """Add, per distinct score, positives / negatives strictly below and at
     or above it (``pos_lt``, ``neg_lt``, ``pos_ge``, ``neg_ge``) and the
     class totals ``P``, ``N``."""
-    c = counts.withColumn("_b", _bucket_of(F.col("score")))
-    per_b = c.groupBy("_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    wb = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = per_b.select("_b", F.coalesce(F.sum("_bp").over(wb), F.lit(0)).alias("_op"),
-                        F.coalesce(F.sum("_bn").over(wb), F.lit(0)).alias("_on"))
-    totals = counts.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    P, N = totals.select("P").scalar(), totals.select("N").scalar()
-    w = Window.partitionBy("_b").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    # offs has at most SCORE_BUCKETS rows: a proven-small broadcast side.
-    out = c.join(F.broadcast(offs), "_b").select(
-        "score", "pos", "neg",
-        (F.coalesce(F.sum("pos").over(w), F.lit(0)) + F.col("_op")).alias("pos_lt"),
-        (F.coalesce(F.sum("neg").over(w), F.lit(0)) + F.col("_on")).alias("neg_lt"))
-    return out.select("*", P.alias("P"), N.alias("N"),
-                      (P - F.col("pos_lt")).alias("pos_ge"), (N - F.col("neg_lt")).alias("neg_ge"))
+    t = running_totals(counts, ["score"], ["pos", "neg"])
+    out = t.select("score", "pos", "neg", F.col("pos_before").alias("pos_lt"), F.col("neg_before").alias("neg_lt"),
+                   F.col("pos_total").alias("P"), F.col("neg_total").alias("N"))
+    return out.select("*", (F.col("P") - F.col("pos_lt")).alias("pos_ge"), (F.col("N") - F.col("neg_lt")).alias("neg_ge"))
+
+
+def _auc(u: str, p: str, n: str):
+    return F.when((F.col(p) > 0) & (F.col(n) > 0), F.col(u) / (F.col(p) * F.col(n))).otherwise(0.0)
+
+
+def _rank_sums():
+    """What AUC and AP need of each distinct score, and the class totals."""
+    precision = F.col("pos_ge") / (F.col("pos_ge") + F.col("neg_ge"))
+    return [F.sum(F.col("pos") * (F.col("neg_lt") + 0.5 * F.col("neg"))).alias("_u"),
+            F.sum(F.col("pos") * precision).alias("_s"), F.max("P").alias("P"), F.max("N").alias("N")]
+
+
+def _ap():
+    return F.when((F.col("P") > 0) & (F.col("N") > 0), F.round(F.col("_s") / F.col("P"), PRECISION)).otherwise(0.0)
 
 
 def roc_auc(cum: DataFrame) -> DataFrame:
     """Mann-Whitney AUC with ties counted one half; 0 with one class."""
-    s = cum.agg(F.sum(F.col("pos") * (F.col("neg_lt") + 0.5 * F.col("neg"))).alias("_u"),
-                F.max("P").alias("P"), F.max("N").alias("N"))
-    return s.select(F.when((F.col("P") > 0) & (F.col("N") > 0),
-                           F.col("_u") / (F.col("P") * F.col("N"))).otherwise(0.0).alias("auc"))
+    return cum.agg(*_rank_sums()).select(_auc("_u", "P", "N").alias("auc"))
 
 
 def average_precision(cum: DataFrame) -> DataFrame:
     """Step-wise AP = sum over distinct scores of (delta recall) x precision."""
-    prec = F.col("pos_ge") / (F.col("pos_ge") + F.col("neg_ge"))
-    s = cum.agg(F.sum(F.col("pos") * prec).alias("_s"), F.max("P").alias("P"),
-                F.max("N").alias("N"))
-    return s.select(F.when((F.col("P") > 0) & (F.col("N") > 0),
-                           F.round(F.col("_s") / F.col("P"), PRECISION)).otherwise(0.0).alias("ap"))
+    return cum.agg(*_rank_sums()).select(_ap().alias("ap"))
 
 
 def curves(cum: DataFrame) -> DataFrame:
@@ -191,18 +179,17 @@ def score_summary(df: DataFrame, score: str = "score") -> DataFrame:
 
 def evaluate(df: DataFrame, score: str = "score", label: str = "label",
              threshold: float = 0.5) -> DataFrame:
-    """AUC, AP, P / R / F1 and the confusion matrix in one row.
-
-    Each part is a one-row frame; they are combined as scalar subqueries."""
-    cum = cumulative_counts(score_counts(df, score, label))
-    auc = roc_auc(cum)
-    ap = average_precision(cum)
-    cm = confusion(df, score, label, threshold)
-    spark = df.sparkSession
-    cols = [auc.select(F.round("auc", PRECISION)).scalar().alias("auc"),
-            ap.select("ap").scalar().alias("ap")]
-    cols += [cm.select(c).scalar().alias(c) for c in ("precision", "recall", "f1", "tn", "fp", "fn", "tp")]
-    return spark.range(1).select(*cols)
+    """AUC, AP, P / R / F1 and the confusion matrix in one row, from one pass over
+    the counts of distinct scores (a null score is in no cell of the matrix)."""
+    hit = F.col("score") >= threshold
+
+    def cell(c, n):
+        return F.sum(F.when(c, F.col(n)).otherwise(0)).cast("bigint")
+    m = cumulative_counts(score_counts(df, score, label)).agg(
+        *_rank_sums(), cell(~hit, "neg").alias("tn"), cell(hit, "neg").alias("fp"),
+        cell(~hit, "pos").alias("fn"), cell(hit, "pos").alias("tp"))
+    m = m.withColumn("auc", F.round(_auc("_u", "P", "N"), PRECISION)).withColumn("ap", _ap())
+    return with_prf(m).select("auc", "ap", "precision", "recall", "f1", "tn", "fp", "fn", "tp")
 
 
 def long_metrics(row: DataFrame, metrics=("auc", "ap", "precision", "recall", "f1"),

@@ -327,7 +327,11 @@ def community_subgraph(spark, sf_dir):
     return G.induced_edges(edges, members).select("src", "dst", "weight")
 
 
-@register("display_sample")
+@register("display_sample", graph_sql(BIGGEST_SQL, f"""
+mem AS (SELECT node, starts_with(node, 'card_') AS is_card FROM comm WHERE community_id = (SELECT cid FROM big)),
+rk AS (SELECT node, is_card, row_number() OVER (PARTITION BY is_card ORDER BY {S.seeded(42, 'node')}, node) AS r FROM mem),
+kept AS (SELECT node FROM rk WHERE r <= CASE WHEN is_card THEN 25 ELSE 12 END)""") + """
+SELECT e.src, e.dst, e.weight FROM e WHERE e.src IN (SELECT node FROM kept) AND e.dst IN (SELECT node FROM kept)""")
 def display_sample(spark, sf_dir):
     """I8: <= 25 cards and <= 12 merchants of the largest community (seeded
     hash order) with the real edges among them."""
@@ -521,7 +525,12 @@ def reconstruction_anomaly(spark, sf_dir):
     return out.select("src", "dst", F.round("anomaly", 9).alias("anomaly"))
 
 
-@register("negative_samples")
+@register("negative_samples", S.ctes(TX_SQL, EDGES_SQL, f"""
+c AS (SELECT src, row_number() OVER (ORDER BY src) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT src FROM e)),
+m AS (SELECT dst, row_number() OVER (ORDER BY dst) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT dst FROM e)),
+d AS (SELECT unnest(range((SELECT count(*) FROM e))) AS id)""") + f"""
+SELECT d.id, c.src, m.dst FROM d JOIN c ON c.place = {S.seeded('42:c', 'd.id')} % c.n
+JOIN m ON m.place = {S.seeded('42:m', 'd.id')} % m.n""")
 def negative_samples(spark, sf_dir):
     """I16: uniform negative (card, merchant) pairs, as many as edges (seeded hash)."""
     return G.negative_samples(_edges(spark, sf_dir))

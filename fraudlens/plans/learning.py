@@ -70,9 +70,13 @@ def _strat(spark, sf_dir):
     return L.stratified_split(tx, "is_fraud", "transaction_id", seed=42)
 
 
-@register("stratified_split")
+@register("stratified_split", S.ctes(TX_SQL, f"""
+pos AS (SELECT transaction_id, is_fraud, count(*) OVER (PARTITION BY is_fraud) AS n,
+               row_number() OVER (PARTITION BY is_fraud ORDER BY {S.seeded(42, 'transaction_id')}, transaction_id) - 1 AS p FROM tx)""") + """
+SELECT transaction_id, is_fraud, CASE WHEN p < floor(n * CAST(0.7 AS DOUBLE)) THEN 'train'
+       WHEN p < floor(n * CAST(0.7 AS DOUBLE)) + floor(n * CAST(0.15 AS DOUBLE)) THEN 'val' ELSE 'test' END AS split FROM pos""")
 def stratified_split(spark, sf_dir):
-    """Stratified 70 / 15 / 15 split in seeded hash order (rows-only)."""
+    """Stratified 70 / 15 / 15 split in seeded hash order."""
     return _strat(spark, sf_dir)
 
 
@@ -95,9 +99,21 @@ def _borderline(spark, sf_dir):
     return L.borderline_shift(train, val, "score", "is_fraud", "transaction_id")
 
 
-@register("borderline_shift")
+@register("borderline_shift", S.ctes(TX_SQL, SPLIT_SQL, SCORE_SQL, f"""
+j AS (SELECT spl.*, sc.score FROM spl JOIN sc ON spl.transaction_id = sc.transaction_id),
+need AS (SELECT is_fraud, count(*) AS need FROM j WHERE split = 'val' AND score BETWEEN 0.3 AND 0.7 GROUP BY is_fraud),
+tr AS (SELECT transaction_id, is_fraud, count(*) OVER (PARTITION BY is_fraud) AS pool,
+              row_number() OVER (PARTITION BY is_fraud ORDER BY {S.seeded(42, 'transaction_id')}, transaction_id) - 1 AS p
+       FROM j WHERE split = 'train'),
+pk AS (SELECT tr.transaction_id, tr.is_fraud,
+              coalesce(need, 0) // pool + CASE WHEN p < coalesce(need, 0) % pool THEN 1 ELSE 0 END AS picks
+       FROM tr LEFT JOIN need ON need.is_fraud = tr.is_fraud)""") + """
+SELECT transaction_id, is_fraud, CASE WHEN picks > 0 THEN 2.0 ELSE CAST(1.0 AS DOUBLE) END AS weight, FALSE AS is_copy FROM pk
+UNION ALL
+SELECT transaction_id, is_fraud, CAST(2.0 AS DOUBLE) AS weight, TRUE AS is_copy
+FROM (SELECT transaction_id, is_fraud, unnest(range(picks)) AS r FROM pk)""")
 def borderline_shift(spark, sf_dir):
-    """J8 + C9 + H2: borderline-matched training rows reweighted and copied (rows-only)."""
+    """J8 + C9 + H2: borderline-matched training rows reweighted and copied."""
     return _borderline(spark, sf_dir).select("transaction_id", "is_fraud", "weight", "is_copy")
 
 

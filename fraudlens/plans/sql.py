@@ -10,6 +10,11 @@ from __future__ import annotations
 from fraudlens.plans.registry import IDENTITY_SQL, TX_SQL  # noqa: F401
 
 
+def seeded(seed, c: str) -> str:
+    """The seeded hash of a value: 60 bits of an md5."""
+    return f"CAST('0x' || substr(md5('{seed}:' || CAST({c} AS VARCHAR)), 1, 15) AS BIGINT)"
+
+
 def frame(key: str, width: int) -> str:
     return f"OVER (PARTITION BY {key} ORDER BY dt RANGE BETWEEN {width} PRECEDING AND 1 PRECEDING)"
 
