@@ -84,18 +84,21 @@ def _signature(own: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, tag, n_shingles, node (a hash of the set), signature and sketch (the
-    lowest byte of each of its values) of every row."""
+    """doc_id, tag, n_shingles, node (a hash of the set) and signature of every row."""
     def run(batches):
         for b in batches:
             sets = shingle_sets(as_bytes(b.column("text")), shingle)
             values = [_signature(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("tag"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()),
-                 pa.array(values, pa.list_(pa.int32())),
-                 pa.array([None if v is None else v.astype(np.uint8).tobytes() for v in values], pa.binary())],
-                names=["doc_id", "tag", "n_shingles", "node", "signature", "sketch"])
-    return docs.mapInArrow(run, "doc_id bigint, tag bigint, n_shingles bigint, node bigint, signature array<int>, sketch binary")
+                 pa.array(values, pa.list_(pa.int32()))],
+                names=["doc_id", "tag", "n_shingles", "node", "signature"])
+    return docs.mapInArrow(run, "doc_id bigint, tag bigint, n_shingles bigint, node bigint, signature array<int>")
+
+
+def sketch() -> Column:
+    """The lowest byte of each value of ``signature``: made where it is sent, not stored."""
+    return F.unhex(F.array_join(F.transform("signature", lambda v: F.lpad(F.hex(v.bitwiseAND(F.lit(255))), 2, "0")), "")).alias("sketch")
 
 
 def postings(nodes: DataFrame) -> DataFrame:
@@ -162,7 +165,7 @@ def pairs(posted: DataFrame, nodes: DataFrame, buckets: int, percent: int) -> Da
     sizes = posted.groupBy("list").agg(F.count(F.lit(1)).alias("all"), F.count_if("open").alias("some")).filter("all > 1 AND some > 0")
     lists = sizes.select("list", F.ceil(F.col("all") / BLOCK).cast("bigint").alias("blocks"), F.ceil(F.col("some") / BLOCK).cast("bigint").alias("open_blocks"))
     prefix = posted.groupBy("node").agg(F.collect_list("list").alias("prefix"))  # at most COORDINATES
-    mine = posted.join(prefix.join(nodes.select("node", "sketch", "n_shingles"), "node"), "node").join(lists, "list")
+    mine = posted.join(prefix.join(nodes.select("node", sketch(), "n_shingles"), "node"), "node").join(lists, "list")
 
     def every(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
@@ -262,8 +265,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 2, percent: int = 80) -> Dat
     told = materialize(signatures(docs, shingle), "near-signatures")
     some = told.filter("n_shingles > 0")
     nodes = materialize(some.groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"),
-        F.first("sketch").alias("sketch")), "near-nodes")
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "near-nodes")
     posted = materialize(postings(nodes), "near-postings")
 
     buckets = max(8, 8 * (nodes.agg(F.sum("n_shingles")).first()[0] or 0) // BUCKET_BYTES)
