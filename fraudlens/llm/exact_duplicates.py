@@ -64,7 +64,8 @@ def merged(name: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.nd
     if not len(name):
         return name, ids, counts
     order = _sorted_order(name)
-    name, ids, counts = name[order], ids[order], counts[order]
+    # numpy joins arrays in the machine's byte order; runs travel with the highest byte first
+    name, ids, counts = name[order].astype(_NAME, copy=False), ids[order], counts[order]
     start = np.flatnonzero(np.concatenate(([True], name[1:] != name[:-1])))
     return name[start], np.maximum.reduceat(ids, start), np.add.reduceat(counts, start)
 

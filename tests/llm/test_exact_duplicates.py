@@ -47,6 +47,13 @@ def test_many_rounds_and_small_runs(spark, monkeypatch):
     assert told(X.exact_duplicates(docs)) == plain(ROWS)
 
 
+@pytest.mark.parametrize("nodes", [2, 20, 100])
+def test_copies_are_found_after_any_number_of_rounds(spark, monkeypatch, nodes):
+    monkeypatch.setattr(X, "tasks", lambda spark: nodes)
+    rows = [(i, f"text {i % 5}", None, None) for i in range(20)]
+    assert told(X.exact_duplicates(frame(spark, rows).repartition(4))) == plain(rows)
+
+
 def test_one_row_of_each_text_stays(spark):
     docs = frame(spark, ROWS)
     got = X.without_exact_duplicates(docs).collect()
