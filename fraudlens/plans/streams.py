@@ -41,11 +41,12 @@ h AS (
 SELECT transaction_id, card_id, CAST(signals AS INTEGER) AS signals, round(prob, 9) AS prob,
        prob >= 0.26 AS is_fraud_pred,
        round(CASE WHEN card_amt_mean > 0 THEN amt / card_amt_mean ELSE 1.0 END, 9) AS amt_ratio
-FROM h WHERE dt <= (SELECT max(dt) FROM tx) - 3600""")
+FROM h""")
 def stream_scoring(spark, sf_dir):
     """L1 (+ J13 rules, D10-style default): stream scoring with a stream-static join (cards)
-    and the history kept in keyed state; the rows a watermark of 1 h has passed."""
-    return P.stream_scoring(spark, P.transaction_stream(spark, sf_dir), _cards(spark, sf_dir))
+    and the history kept in keyed state; every row, those that wait for the watermark of
+    1 h when the run ends from the state."""
+    return P.stream_scoring(spark, P.transaction_stream(spark, sf_dir, None), _cards(spark, sf_dir), table=PG._tx(spark, sf_dir))
 
 
 @register("stream_history", S.ctes(TX_SQL) + """

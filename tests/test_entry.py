@@ -2,7 +2,7 @@
 
 import __spark_entry__ as E
 from fraudlens.plans import graph as PG
-from fraudlens.sources.tables import transactions
+from fraudlens.sources.tables import EVENTS_SCHEMA, transactions
 from fraudlens.streaming import pipelines as P
 
 
@@ -44,3 +44,21 @@ def test_stream_velocity_equals_closed_batch_windows(spark, sf):
                        "tx_count", "amt_sum", "fraud_count"))
     assert stream.count() == batch.count() > 0
     assert stream.exceptAll(batch).count() == 0
+
+
+def test_stream_scoring_scores_every_row(spark, tmp_path):
+    import datetime
+
+    import duckdb
+
+    start = datetime.datetime(2024, 1, 2)
+    rows = [(i, None if i % 10 == 9 else start + datetime.timedelta(seconds=600 * i), None if i % 7 == 6 else i % 3,
+             "view", float(5 * i), '{"k": %d}' % (i % 4)) for i in range(60)]
+    rows += [(100, None, 50, "view", 9.0, '{"k": 1}'), (101, None, 50, "view", 2000.0, '{"k": 1}')]
+    path = f"{tmp_path}/events.parquet"
+    spark.createDataFrame(rows, EVENTS_SCHEMA).repartition(3).write.parquet(path)
+    got = E.queries()["stream_scoring"](spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{path}/*.parquet'")
+    want = db.execute(E.oracle_sql()["stream_scoring"]).fetchall()
+    assert len(got) == len(rows) and sorted(map(tuple, got)) == sorted(want)
