@@ -150,3 +150,19 @@ def test_shared_stage_is_built_once_until_a_file_changes(spark, tmp_path):
     assert get("other") == 6 and len(built) == 2
     spark.range(4, 6).write.mode("append").parquet(path)
     assert get() == 15 and len(built) == 3
+
+
+def test_community_rounds_carry_no_keys(spark, monkeypatch):
+    """The tables that every round reads and writes hold node numbers, not texts, and an
+    edge without a key at one end counts as weight only."""
+    rows, _ = blocks(spark, groups=2)
+    e = spark.createDataFrame(rows + [(None, "merchant_0_0", 2)], "src string, dst string, weight long")
+    seen, settled = [], G._settled
+
+    def spy(adjacent, degree, *rest):
+        seen.append([t for df in (adjacent, degree) for _, t in df.dtypes])
+        return settled(adjacent, degree, *rest)
+    monkeypatch.setattr(G, "_settled", spy)
+    out = G.modularity_communities(e).collect()
+    assert seen and not any("string" in types for types in seen)
+    assert len(out) == 18 and len({r.community_id for r in out}) == 2 and {r.node_type for r in out} == {"card", "merchant"}
