@@ -55,9 +55,9 @@ def tasks(spark: SparkSession) -> int:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared checkpoint folder.  The shuffle files it was made
-    from are of no more use; Spark removes them when the driver's garbage collector
-    finds their stages gone, which is asked for here, as it may take long otherwise."""
+    """``df`` as a table in the shared checkpoint folder.  The shuffle files of its write
+    go with the write; those of earlier jobs when the driver's garbage collector finds
+    their stages gone, which is asked for here, as it may take long otherwise."""
     out = _written(df, name)
     df.sparkSession.sparkContext._jvm.System.gc()
     return out

@@ -63,3 +63,22 @@ def test_checkpoint_folder_is_needed_on_a_cluster():
         sparkContext, conf = Context(), Conf()
     with pytest.raises(RuntimeError):
         ensure_checkpoint_dir(Session())
+
+
+def test_materialize_leaves_no_shuffle_files(spark):
+    import glob
+
+    from pyspark.sql import functions as F
+
+    from fraudlens.session import SHUFFLE_CLEANUP, materialize
+
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def files():
+        return {f for d in dirs for f in glob.glob(f"{d}/*/shuffle_*")}
+
+    before, kept = files(), spark.conf.get(SHUFFLE_CLEANUP)
+    t = materialize(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s")))
+    assert not files() - before
+    assert spark.conf.get(SHUFFLE_CLEANUP) == kept
+    assert t.count() == 7
