@@ -166,3 +166,31 @@ def test_community_rounds_carry_no_keys(spark, monkeypatch):
     out = G.modularity_communities(e).collect()
     assert seen and not any("string" in types for types in seen)
     assert len(out) == 18 and len({r.community_id for r in out}) == 2 and {r.node_type for r in out} == {"card", "merchant"}
+
+
+def test_rounds_shuffle_no_edges(spark, monkeypatch):
+    """Votes are summed where the edges lie: the best moves of a round of the first level need no shuffle."""
+    _, e = blocks(spark, groups=2, cards=40, merchants=20)
+    plans, best = [], G._best_moves
+
+    def spy(adjacent, *rest):
+        out = best(adjacent, *rest)
+        plans.append((adjacent, out._jdf.queryExecution().executedPlan().toString()))
+        return out
+    monkeypatch.setattr(G, "_best_moves", spy)
+    assert G.modularity_communities(e).count() == 120
+    first = [p for adjacent, p in plans if adjacent is plans[0][0]]
+    assert len(first) > 1 and not any("ENSURE_REQUIREMENTS" in p for p in first)
+
+
+def test_hubs_get_the_same_communities(spark, monkeypatch):
+    """Nodes whose votes are summed map-side and nodes whose edges are held together move alike."""
+    rows, e = blocks(spark)
+    rows += [("card_hub", f"merchant_{g}_{m}", 1 + g) for g in range(4) for m in range(3)]
+    e = spark.createDataFrame(rows, "src string, dst string, weight long")
+
+    def found(most, monkeypatch=monkeypatch):
+        monkeypatch.setattr(G, "HUB_ROWS", most)
+        return sorted(tuple(r) for r in G.modularity_communities(e).collect())
+    assert len(found(1_000_000)) == 37
+    assert found(1_000_000) == found(6) == found(0)
