@@ -194,3 +194,38 @@ def test_hubs_get_the_same_communities(spark, monkeypatch):
         return sorted(tuple(r) for r in G.modularity_communities(e).collect())
     assert len(found(1_000_000)) == 37
     assert found(1_000_000) == found(6) == found(0)
+
+
+def tangled(spark, cards=30, merchants=12, edges=160):
+    """A graph whose communities take many rounds."""
+    import random
+
+    rng = random.Random(11)
+    rows = sorted({(f"card_{rng.randrange(cards)}", f"merchant_{rng.randrange(merchants)}", 1 + rng.randrange(3)) for _ in range(edges)})
+    return spark.createDataFrame(rows, "src string, dst string, weight long")
+
+
+def test_rounds_of_few_moves_write_no_tables(spark, monkeypatch):
+    """A round whose moves fit the driver writes nothing; four tables a round before."""
+    writes, rounds, best, written = [], [], G._best_moves, G._checkpoint
+    monkeypatch.setattr(G, "_checkpoint", lambda df: writes.append(1) or written(df))
+    monkeypatch.setattr(G, "_best_moves", lambda *a: rounds.append(1) or best(*a))
+    assert G.modularity_communities(tangled(spark)).count() == 42
+    assert len(rounds) > 5 and len(writes) < 2 * len(rounds)
+
+
+def test_every_way_of_a_round_gives_the_same_communities(spark, monkeypatch):
+    """Moves settled on the driver or by joins, votes summed anew or kept, few or many
+    changes at once."""
+    e = tangled(spark)
+
+    def found(moves, kept, share=8):
+        for name, value in (("MOVES_AT_ONCE", moves), ("KEPT_EDGES", kept), ("KEPT_SHARE", share)):
+            monkeypatch.setattr(G, name, value, raising=False)
+        return sorted(tuple(r) for r in G.modularity_communities(e).collect())
+    joined = found(0, 10 ** 9)
+    used, best = [], G._Kept.best
+    monkeypatch.setattr(G._Kept, "best", lambda *a: used.append(1) or best(*a))
+    assert len(joined) == 42 and found(200_000, 10 ** 9) == joined and not used
+    assert found(200_000, 0, 1) == joined and used
+    assert found(20, 0, 1) == joined
